@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("metrics",)
+MODULES = ("metrics", "neighbours", "prep", "files", "reports")
 
 
 def load():
