@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("metrics", "neighbours", "prep", "files", "reports")
+MODULES = ("metrics", "neighbours", "prep", "files", "reports", "projections", "fuzzy", "affinities")
 
 
 def load():
