@@ -74,9 +74,9 @@ def min_degree(spark, d):
 _PRUNED = "pn AS (SELECT i, j, w FROM un WHERE w >= (SELECT max(w) FROM un) / 10.0::DOUBLE)"
 
 
-@query("prune_edges", f"{_W}, {DW}, {UN}, {_PRUNED} SELECT i, j, round(w, 6) AS w FROM pn")
+@query("prune_edges", f"{_W}, {DW}, {UN}, {_PRUNED.replace("10.0", "2.0")} SELECT i, j, round(w, 6) AS w FROM pn")
 def prune_edges(spark, d):
-    return Z.prune_edges(union(spark, d), 10).select("i", "j", r6("w").alias("w"))
+    return Z.prune_edges(union(spark, d), 2).select("i", "j", r6("w").alias("w"))
 
 
 _EPS = f"{_PRUNED}, ep AS (SELECT i, j, 10.0::DOUBLE / (10.0::DOUBLE * (w / (SELECT max(w) FROM pn))) AS eps FROM pn)"
