@@ -24,14 +24,27 @@ def _pick(cdf: Column, u: Column, n: int) -> Column:
     return F.least(F.size(F.filter(cdf, lambda c: c < u)), F.lit(n - 1))
 
 
-def _within(cdf: Column, u: Column, idx: Column, n: int) -> Column:
-    """Bin plus a triangular offset in [0, 2): densities blend into the next bin."""
-    low = F.when(idx > 0, F.element_at(cdf, idx)).otherwise(F.lit(0.0))
-    high = F.when(idx < n - 1, F.element_at(cdf, idx + 1)).otherwise(F.lit(1.0))
-    r = F.try_divide(u - low, high - low)
-    rising = F.lit(2.0) * F.sqrt(r * 0.5)
-    falling = F.lit(2.0) * (F.lit(1.0) - F.sqrt((F.lit(1.0) - r) * 0.5))
-    return idx + F.when(u - low <= (high - low) * 0.5, rising).otherwise(falling)
+def _let(value: Column, fn) -> Column:
+    """Evaluate ``value`` once and hand it to ``fn``: keeps nested draws from multiplying."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+def _draw_in(cdf: Column, u: Column, n: int) -> Column:
+    """Bin of u plus a triangular offset in [0, 2): densities blend into the next bin."""
+
+    def bounds(s):
+        low = F.when(s["i"] > 0, F.element_at(s["c"], s["i"])).otherwise(F.lit(0.0))
+        high = F.when(s["i"] < n - 1, F.element_at(s["c"], s["i"] + 1)).otherwise(F.lit(1.0))
+        return F.struct(s["i"].alias("i"), F.try_divide(s["u"] - low, high - low).alias("r"))
+
+    def offset(s):
+        rising = F.lit(2.0) * F.sqrt(s["r"] * 0.5)
+        falling = F.lit(2.0) * (F.lit(1.0) - F.sqrt((F.lit(1.0) - s["r"]) * 0.5))
+        return s["i"] + F.when(s["r"] <= 0.5, rising).otherwise(falling)
+
+    bound = F.struct(cdf.alias("c"), u.alias("u"))
+    picked = _let(bound, lambda s: F.struct(s["c"].alias("c"), s["u"].alias("u"), _pick(s["c"], s["u"], n).alias("i")))
+    return _let(_let(picked, bounds), offset)
 
 
 def sample_pdf_1d(u: Column, pdf) -> Column:
@@ -39,7 +52,7 @@ def sample_pdf_1d(u: Column, pdf) -> Column:
     p = np.asarray(pdf, dtype=float)
     n = len(p)
     cdf = _array(np.cumsum(p / p.sum()))
-    return _within(cdf, u, _pick(cdf, u, n), n) / F.lit(float(n)) - F.lit(0.5)
+    return _draw_in(cdf, u, n) / F.lit(float(n)) - F.lit(0.5)
 
 
 def _conditional(p: np.ndarray) -> list[np.ndarray]:
@@ -64,12 +77,16 @@ def sample_pdf_2d(draws: list[Column], u2: Column, pdf) -> Column:
     marginal = _array(np.cumsum(p).reshape(p.shape)[:, -1])
     full = F.array(*[F.lit(bool(s >= MASS_FLOOR)) for s in p.sum(axis=1)])
     tries = [F.struct(_pick(marginal, u, rows).alias("i"), u.alias("u")) for u in draws]
-    hit = F.coalesce(*[F.when(F.element_at(full, t["i"] + 1), t) for t in tries])
-    i, u = hit["i"], hit["u"]
-    cond = F.element_at(_rows(_conditional(p)), i + 1)
-    a = _within(marginal, u, i, rows) / F.lit(float(rows)) - F.lit(0.5)
-    b = _within(cond, u2, _pick(cond, u2, cols), cols) / F.lit(float(cols)) - F.lit(0.5)
-    return F.when(hit.isNotNull(), F.struct(a.alias("a"), b.alias("b")))
+    # the first draw on a filled row
+    hit = F.get(F.filter(F.array(*tries), lambda t: F.element_at(full, t["i"] + 1)), 0)
+    conds = _rows(_conditional(p))
+
+    def both(t):
+        a = _draw_in(marginal, t["u"], rows) / F.lit(float(rows)) - F.lit(0.5)
+        b = _draw_in(F.element_at(conds, t["i"] + 1), u2, cols) / F.lit(float(cols)) - F.lit(0.5)
+        return F.when(t.isNotNull(), F.struct(a.alias("a"), b.alias("b")))
+
+    return _let(hit, both)
 
 
 def sample_pdf_given(value: Column, axis: int, u: Column, pdf) -> Column:
@@ -84,8 +101,7 @@ def sample_pdf_given(value: Column, axis: int, u: Column, pdf) -> Column:
     at = F.least(F.greatest((value * F.lit(float(n))).cast("int"), F.lit(0)), F.lit(n - 1))
     cond = F.element_at(_rows(_conditional(p)), at + 1)
     full = F.element_at(F.array(*[F.lit(bool(s >= MASS_FLOOR)) for s in p.sum(axis=1)]), at + 1)
-    drawn = _within(cond, u, _pick(cond, u, other), other) / F.lit(float(other)) - F.lit(0.5)
-    return F.when(full, drawn)
+    return F.when(full, _draw_in(cond, u, other) / F.lit(float(other)) - F.lit(0.5))
 
 
 # --- manifolds and affine maps ----------------------------------------------
@@ -261,20 +277,40 @@ def _draw(gen: dict, values: list[Column], key: Column, seed: int) -> Column:
         first = F.when(none, both["a"]).when(a.isNull(), sample_pdf_given(b, 1, us[0], pdf)).otherwise(a)
         second = F.when(none, both["b"]).when(b.isNull(), sample_pdf_given(a, 0, us[0], pdf)).otherwise(b)
         return F.array(first, second)
-    both = sample_pdf_2d(us, u2, pdf)
+    drawn = sample_pdf_2d(us, u2, pdf)
     shape = "none" if kind == "planar" else par["manifold"]
     scale = (1, 1, 1) if kind == "planar" else par.get("scale") or (1, 1, 1)
-    pt = affine_map(
-        manifold_map(shape, both["a"], both["b"]),
-        par.get("rotations") or (0, 0, 0), scale, par.get("translate") or (0, 0, 0), par.get("rot_axis") or "xyz",
-    )
+    turn, shift, axes = par.get("rotations") or (0, 0, 0), par.get("translate") or (0, 0, 0), par.get("rot_axis") or "xyz"
+    pt = _let(drawn, lambda s: manifold_map(shape, s["a"], s["b"]))
+    pt = _let(pt, lambda v: affine_map(v, turn, scale, shift, axes))
     fresh = F.lit(True)
     for v in values:
         fresh = fresh & v.isNull()
-    return F.when(fresh & both.isNotNull(), pt).otherwise(F.array(*values))
-
-
-def mixture_rows(ids: DataFrame, spec: dict, seed: int, attempts: int = 3) -> DataFrame:
+    return F.when(fresh, pt).otherwise(F.array(*values))
+
+
+def _fill(df: DataFrame, dim: int, gens: list[dict], share: Column, seed: int) -> DataFrame:
+    """One attempt at the rows whose dimension is still open."""
+    picked = F.when(F.col(f"s{dim}").isNull(), _pick(share, unit("id", seed), len(gens)))
+    df = df.withColumn("_pick", picked)
+    drawn = {}
+    for g, gen in enumerate(gens):
+        values = [F.col(f"s{k}") for k in gen["params"]["dimensions"]]
+        drawn[f"_d{g}"] = F.when(F.col("_pick") == g, _draw(gen, values, F.col("id"), seed + 1009 * (g + 1)))
+    df = df.withColumns(drawn)
+    new: dict[str, Column] = {}
+    label = F.col("label")
+    for g, gen in enumerate(gens):
+        here, got = F.col("_pick") == g, F.col(f"_d{g}")
+        for at, k in enumerate(gen["params"]["dimensions"]):
+            new[f"s{k}"] = F.when(here, got[at]).otherwise(new.get(f"s{k}", F.col(f"s{k}")))
+        if gen["params"].get("labeled") is not None:
+            whole = here & F.forall(got, lambda x: x.isNotNull())
+            label = F.when(F.col("label").isNull() & whole, F.lit(int(gen["params"]["labeled"]))).otherwise(label)
+    return df.withColumns({**new, "label": label}).drop("_pick", *drawn)
+
+
+def mixture_rows(ids: DataFrame, spec: dict, seed: int, attempts: int = 2) -> DataFrame:
     """``id, features, label`` for every id from a generator specification.
 
     Each dimension picks one of its generators by weight; a joint generator fills
@@ -292,23 +328,10 @@ def mixture_rows(ids: DataFrame, spec: dict, seed: int, attempts: int = 3) -> Da
             {"type": "OneDPDF", "weight": 1.0, "params": {"pdf": [1.0] * 11, "dimensions": [i]}}
         ]
         share = np.cumsum([g["weight"] for g in mine]) / sum(g["weight"] for g in mine)
-        for _ in range(attempts):
+        tries = attempts if any(GENERATORS[g["type"]] != "one" for g in mine) else 1
+        for _ in range(tries):
             step += 1
-            base = seed + 100_003 * step
-            open_ = F.col(f"s{i}").isNull()
-            df = df.withColumn("_pick", F.when(open_, _pick(_array(share), unit("id", base), len(mine))))
-            for g, gen in enumerate(mine):
-                gd = gen["params"]["dimensions"]
-                here = F.col("_pick") == g
-                drawn = _draw(gen, [F.col(f"s{k}") for k in gd], F.col("id"), base + 1009 * (g + 1))
-                df = df.withColumn("_d", F.when(here, drawn))
-                if gen["params"].get("labeled") is not None:
-                    whole = here & F.forall("_d", lambda x: x.isNotNull())
-                    df = df.withColumn(
-                        "label", F.when(whole & F.col("label").isNull(), F.lit(int(gen["params"]["labeled"]))).otherwise(F.col("label"))
-                    )
-                for at, k in enumerate(gd):
-                    df = df.withColumn(f"s{k}", F.when(here, F.col("_d")[at]).otherwise(F.col(f"s{k}")))
+            df = _fill(df, i, mine, _array(share), seed + 100_003 * step)
     return df.select("id", F.array(*[f"s{i}" for i in range(dims)]).alias("features"), F.coalesce("label", F.lit(0)).alias("label"))
 
 
