@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("metrics", "neighbours", "prep", "files", "reports", "projections", "fuzzy", "affinities", "synth")
+MODULES = ("metrics", "neighbours", "prep", "files", "reports", "projections", "fuzzy", "affinities", "synth", "models")
 
 
 def load():
