@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oosgauge.session import parallelism
+from oosgauge.session import parallelism, ship
 
 BLOCK_BYTES = 8 << 20
 MAX_BLOCK_ROWS = 8192
@@ -32,6 +32,7 @@ class Shape:
 
 def shape_of(df: DataFrame, vec: str) -> Shape:
     """Row count, vector length and approximate number of distinct vectors, one scan."""
+    ship(df.sparkSession)
     row = df.agg(
         F.count(F.lit(1)).alias("n"),
         F.max(F.size(vec)).alias("w"),

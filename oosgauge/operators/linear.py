@@ -15,12 +15,14 @@ from pyspark.sql import types as T
 
 from oosgauge.operators import blocks as B
 from oosgauge.operators.prep import dimension_stats
+from oosgauge.session import ship
 
 MAX_COVARIANCE_DIMS = 4096
 
 
 def map_vectors(df: DataFrame, vec: str, fn: Callable[[np.ndarray], np.ndarray], out: str = "proj") -> DataFrame:
     """Add (or replace) vector column ``out`` = fn(batch matrix); other columns pass through."""
+    ship(df.sparkSession)
     keep = [c for c in df.columns if c != out]
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(out, T.ArrayType(T.DoubleType()))])
     need = keep if vec in keep else [*keep, vec]
@@ -41,6 +43,8 @@ def map_vectors(df: DataFrame, vec: str, fn: Callable[[np.ndarray], np.ndarray],
 def sum_rows(df: DataFrame, fn: Callable[[np.ndarray], np.ndarray], vec: str, rows: int) -> np.ndarray:
     """Sum over all batches of a (rows x m) matrix ``fn(batch)``; one partial per partition."""
 
+    ship(df.sparkSession)
+
     def run(batches):
         acc = None
         for batch in batches:

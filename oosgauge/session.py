@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +20,24 @@ CONF = {
 }
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, once per application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_oosgauge_shipped", False):
+        return spark
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="oosgauge-"), "oosgauge.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(here):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.join("oosgauge", os.path.relpath(full, here)))
+    sc.addPyFile(path)
+    sc._oosgauge_shipped = True
+    return spark
+
+
 def local_session(cores: str | int = 8, app: str = "oosgauge", **extra: str) -> SparkSession:
     """A local session for tests and benchmarks; a cluster brings its own."""
     b = SparkSession.builder.master(f"local[{cores}]").appName(app)
@@ -26,7 +46,7 @@ def local_session(cores: str | int = 8, app: str = "oosgauge", **extra: str) ->
         b = b.config(key, value)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return ship(spark)
 
 
 def parallelism(spark: SparkSession) -> int:
