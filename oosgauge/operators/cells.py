@@ -184,3 +184,90 @@ def recall(found: DataFrame, truth: DataFrame) -> DataFrame:
     f = found.select("id", F.col("neighbors.j").alias("_f"))
     hit = F.size(F.array_intersect("_t", F.coalesce("_f", F.array().cast("array<bigint>"))))
     return t.join(f, "id", "left").agg((F.sum(hit) / F.sum(F.size("_t"))).alias("recall"))
+
+
+# --- ranks by cell ----------------------------------------------------------
+
+
+def pruned_ranks(left: DataFrame, base: DataFrame, shape: B.Shape, cell_rows: int = 2000) -> DataFrame | None:
+    """``i, j, rank`` for rows ``id, v, tj, td``: closer rows counted cell by cell.
+
+    A cell wholly inside the distance to the nearest target adds its size, one
+    wholly beyond the farthest target adds nothing; only the rest is visited.
+    """
+    from oosgauge.operators.knn import closer_counts
+
+    pivots = choose_pivots(base, shape, cell_rows)
+    if len(pivots) < 2:
+        return None
+    rows = max(B.MIN_BLOCK_ROWS, min(B.MAX_BLOCK_ROWS, B.BLOCK_BYTES // (8 * max(shape.width, 1))))
+    cells = stable(assign(base, pivots))
+    radius, size = np.full(len(pivots), -1.0), np.zeros(len(pivots), dtype=np.int64)
+    for r in cells.groupBy("cell").agg(F.max("r").alias("r"), F.count(F.lit(1)).alias("n")).collect():
+        radius[r["cell"]], size[r["cell"]] = r["r"], r["n"]
+    shared = base.sparkSession.sparkContext.broadcast((pivots, radius, size))
+
+    def sort_cells(batches):
+        piv, rad, n = shared.value
+        for batch in batches:
+            c = B.decode(pa.Table.from_batches([batch]))
+            if not len(c["id"]):
+                continue
+            real = c["tj"] >= 0
+            near = np.where(real, c["td"], np.inf).min(axis=1)
+            far = np.where(real, c["td"], -np.inf).max(axis=1)
+            step = max(1, (16 << 20) // (8 * len(piv)))
+            for s in range(0, len(near), step):
+                sq, slack = B.gram_squared(c["v"][s : s + step], piv)
+                d = np.sqrt(np.maximum(sq, 0.0))
+                room = (np.sqrt(slack) + 1e-9 * (1.0 + d.max(axis=1, initial=0.0)))[:, None]
+                inside = (rad >= 0) & (d + rad + room < near[s : s + step, None])
+                visit = (rad >= 0) & ~inside & (d - rad - room <= far[s : s + step, None])
+                # the row itself is closer than any target but never counted
+                own = (inside & (np.arange(len(piv))[None, :] == c["cell"][s : s + step, None])).any(axis=1)
+                whole = inside @ n - own
+                r, col = np.nonzero(visit)
+                empty = np.nonzero(~visit.any(axis=1))[0]
+                first = np.r_[True, r[1:] != r[:-1]] if len(r) else np.zeros(0, bool)
+                src = pa.array(np.r_[r, empty] + s)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(x).take(src) for x in ("id", "v", "tj", "td")]
+                    + [
+                        pa.array(np.r_[col, np.full(len(empty), -1)].astype(np.int32)),
+                        # whole cells are credited once per row, with its first visit
+                        pa.array(np.r_[np.where(first, whole[r], 0), whole[empty]].astype(np.int64)),
+                    ],
+                    ["id", "v", "tj", "td", "cell", "whole"],
+                )
+
+    placed = left.join(cells.select(F.col("id").alias("_id"), F.col("cell")), F.col("id") == F.col("_id")).drop("_id")
+    schema = "id bigint, v array<double>, tj array<bigint>, td array<double>, cell int, whole bigint"
+    targets = stable(placed.select("id", "v", "tj", "td", "cell").mapInArrow(sort_cells, schema))
+
+    nq = _cut(targets.filter("cell >= 0").groupBy("cell").agg(F.count(F.lit(1)).alias("_n")), "_n", "_nq", rows).drop("_n")
+    nb = _cut(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("_n")), "_n", "_nb", rows).drop("_n")
+    cuts = nq.join(nb, "cell")
+    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    q = targets.join(cuts, "cell").withColumn("_q", part("_nq")).withColumn("_b", every("_nb")).drop("_nq", "_nb", "whole")
+    b = cells.select("id", "v", "cell").join(cuts, "cell").withColumn("_b", part("_nb")).withColumn("_q", every("_nq")).drop("_nq", "_nb")
+    q, b = q.toDF(*q.columns), b.toDF(*b.columns)
+    parts = 4 * parallelism(base.sparkSession)
+    q, b = q.repartition(parts, "cell", "_q", "_b"), b.repartition(parts, "cell", "_q", "_b")
+    out_schema = "i bigint, j bigint, closer bigint"
+    empty_out = B._empty_table(out_schema)
+
+    def run(key, lt: pa.Table, rt: pa.Table) -> pa.Table:
+        if lt.num_rows == 0 or rt.num_rows == 0:
+            return empty_out
+        lc, rc = B.decode(lt.select(["id", "v", "tj", "td"])), B.decode(rt.select(["id", "v"]))
+        cnt = closer_counts(lc["id"], lc["v"], rc["id"], rc["v"], lc["tj"], lc["td"])
+        flat = lc["tj"].reshape(-1)
+        keep = flat >= 0
+        return pa.table(
+            {"i": np.repeat(lc["id"], lc["tj"].shape[1])[keep], "j": flat[keep], "closer": cnt.reshape(-1)[keep]}
+        )
+
+    visited = q.groupBy("cell", "_q", "_b").cogroup(b.groupBy("cell", "_q", "_b")).applyInArrow(run, out_schema)
+    whole = targets.filter("whole > 0 or cell < 0").select(F.col("id").alias("i"), F.explode("tj").alias("j"), F.col("whole").alias("closer"))
+    return visited.unionByName(whole).groupBy("i", "j").agg((F.sum("closer") + 1).cast("bigint").alias("rank"))

@@ -129,7 +129,7 @@ def edges(neighbors: DataFrame, src: str = "i", dst: str = "j") -> DataFrame:
 
 
 def rank_of(
-    pairs: DataFrame, points: DataFrame, id_col: str = "id", vec: str = "features"
+    pairs: DataFrame, points: DataFrame, id_col: str = "id", vec: str = "features", prune_from: int = 200_000
 ) -> DataFrame:
     """``i, j, rank``: place of j among all other rows ordered by distance from i.
 
@@ -146,7 +146,7 @@ def rank_of(
         F.col("_t.j").alias("tj"),
         F.transform("_t", lambda t: _l2(t["_vj"], F.col("v"))).alias("td"),
     )
-    return count_closer(left, p)
+    return count_closer(left, p, prune_from)
 
 
 def _l2(a: Column, b: Column) -> Column:
@@ -175,9 +175,15 @@ def closer_counts(qid, q, bid, b, tj, td):
     return out
 
 
-def count_closer(left: DataFrame, base: DataFrame) -> DataFrame:
+def count_closer(left: DataFrame, base: DataFrame, prune_from: int = 200_000) -> DataFrame:
     """``i, j, rank`` for left rows ``id, v, tj, td`` (targets and their distances)."""
+    from oosgauge.operators.cells import pruned_ranks
+
     shape = B.shape_of(base, "v")
+    if shape.rows >= prune_from:
+        found = pruned_ranks(left, base, shape)
+        if found is not None:
+            return found
     slots = parallelism(base.sparkSession)
     n = B.block_count(shape.rows, shape.width, slots)
 

@@ -60,11 +60,16 @@ def test_same_result_under_any_partitioning(make, rng):
     assert lists(knn(df.repartition(1), 4)) == lists(knn(df.repartition(7), 4))
 
 
-def test_ranks_count_ties_by_id(make, rng):
+@pytest.mark.parametrize("prune_from", [1, 10**9])
+def test_ranks_count_ties_by_id(make, rng, prune_from, monkeypatch):
+    from oosgauge.operators import cells
+
+    whole = cells.choose_pivots
+    monkeypatch.setattr(cells, "choose_pivots", lambda b, s, _rows: whole(b, s, 8))
     x = clumped(rng, 120)
     p = rng.normal(size=(120, 2))
     df = make(x, p)
-    got = {(r["i"], r["j"]): r["rank"] for r in rank_of(edges(knn(df, 6, vec="proj")), df).collect()}
+    got = {(r["i"], r["j"]): r["rank"] for r in rank_of(edges(knn(df, 6, vec="proj")), df, prune_from=prune_from).collect()}
     want = order(dist(x))
     place = [{j: r + 1 for r, j in enumerate(o)} for o in want]
     assert len(got) == 120 * 6
