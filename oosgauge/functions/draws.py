@@ -15,7 +15,10 @@ _A, _B = 48271, 69621
 
 def mix(key: Column | str, seed: int) -> Column:
     """Integer in [0, PRIME) scrambled from a non-negative id and a seed."""
-    key = F.col(key) if isinstance(key, str) else key
+    if isinstance(key, str):
+        # one parsed expression instead of a dozen column objects
+        h = f"(((CAST(`{key}` AS BIGINT) % {PRIME}L) * {_A}L + {seed}L) % {PRIME}L)"
+        return F.expr(f"((({h} * {h}) % {PRIME}L) * {_B}L + {seed}L) % {PRIME}L")
     p, s = F.lit(PRIME).cast("bigint"), F.lit(seed).cast("bigint")
     h = ((key.cast("bigint") % p) * F.lit(_A).cast("bigint") + s) % p
     h = (h * h) % p

@@ -16,7 +16,7 @@ RETRIES = 5
 
 
 def _array(values) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+    return F.expr("array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")")
 
 
 def _pick(cdf: Column, u: Column, n: int) -> Column:
@@ -62,7 +62,12 @@ def _conditional(p: np.ndarray) -> list[np.ndarray]:
 
 
 def _rows(cdfs) -> Column:
-    return F.array(*[_array(c) for c in cdfs])
+    rows = ("array(" + ", ".join(f"{float(v)!r}D" for v in c) + ")" for c in cdfs)
+    return F.expr("array(" + ", ".join(rows) + ")")
+
+
+def _flags(values) -> Column:
+    return F.expr("array(" + ", ".join("true" if v else "false" for v in values) + ")")
 
 
 def sample_pdf_2d(draws: list[Column], u2: Column, pdf) -> Column:
@@ -75,7 +80,7 @@ def sample_pdf_2d(draws: list[Column], u2: Column, pdf) -> Column:
     p = p / p.sum()
     rows, cols = p.shape
     marginal = _array(np.cumsum(p).reshape(p.shape)[:, -1])
-    full = F.array(*[F.lit(bool(s >= MASS_FLOOR)) for s in p.sum(axis=1)])
+    full = _flags(p.sum(axis=1) >= MASS_FLOOR)
     tries = [F.struct(_pick(marginal, u, rows).alias("i"), u.alias("u")) for u in draws]
     # the first draw on a filled row
     hit = F.get(F.filter(F.array(*tries), lambda t: F.element_at(full, t["i"] + 1)), 0)
@@ -100,7 +105,7 @@ def sample_pdf_given(value: Column, axis: int, u: Column, pdf) -> Column:
     n, other = p.shape
     at = F.least(F.greatest((value * F.lit(float(n))).cast("int"), F.lit(0)), F.lit(n - 1))
     cond = F.element_at(_rows(_conditional(p)), at + 1)
-    full = F.element_at(F.array(*[F.lit(bool(s >= MASS_FLOOR)) for s in p.sum(axis=1)]), at + 1)
+    full = F.element_at(_flags(p.sum(axis=1) >= MASS_FLOOR), at + 1)
     return F.when(full, _draw_in(cond, u, other) / F.lit(float(other)) - F.lit(0.5))
 
 
@@ -149,7 +154,7 @@ def affine_map(v: Column, rotations=(0, 0, 0), scale=(1, 1, 1), translate=(0, 0,
     return F.array(*out)
 
 
-def hole_sample(key: Column, seed: int, hole: str = "none") -> Column:
+def hole_sample(key: Column | str, seed: int, hole: str = "none") -> Column:
     """``struct<a, b>`` on the unit square: all of it, its centre ninth, or the eight others."""
     a, b = unit(key, seed), unit(key, seed + 1)
     if hole == "none":
@@ -166,7 +171,7 @@ def hole_sample(key: Column, seed: int, hole: str = "none") -> Column:
 
 def manifold_table(ids: DataFrame, kind: str, seed: int, hole: str = "none") -> DataFrame:
     """``id, x, y, z, t``: one manifold point per id."""
-    drawn = ids.select("id", hole_sample(F.col("id"), seed, hole).alias("s"))
+    drawn = ids.select("id", hole_sample("id", seed, hole).alias("s"))
     shift = 0.5 if kind == "s_curve" else 0.0
     a, b = F.col("s.a") - F.lit(shift), F.col("s.b") - F.lit(shift)
     pt = manifold_map(kind, a, b)
@@ -196,7 +201,7 @@ def blob_points(ids: DataFrame, clusters: list[dict], seed: int) -> DataFrame:
     num = lambda k, default=0.0: F.element_at(_array([c.get(k, default) for c in clusters]), lab)
     text = lambda k, default: F.element_at(F.array(*[F.lit(c.get(k, default)) for c in clusters]), lab)
     normal = F.element_at(F.array(*[F.lit(bool(c.get("gaussian", True))) for c in clusters]), lab)
-    key = F.col("id")
+    key = "id"
 
     def draw(centre, spread, s):
         flat = centre + spread * (F.lit(2.0) * unit(key, seed + s) - F.lit(1.0))
@@ -261,7 +266,7 @@ def check_spec(spec: dict) -> None:
             raise ValueError(f"dimensions {sorted(missing)} are undefined")
 
 
-def _draw(gen: dict, values: list[Column], key: Column, seed: int) -> Column:
+def _draw(gen: dict, values: list[Column], key: str, seed: int) -> Column:
     """``array<double>`` for the generator's dimensions; unfilled entries are null."""
     par, kind = gen["params"], GENERATORS[gen["type"]]
     pdf = par["pdf"]
@@ -296,7 +301,7 @@ def _fill(df: DataFrame, dim: int, gens: list[dict], share: Column, seed: int) -
     drawn = {}
     for g, gen in enumerate(gens):
         values = [F.col(f"s{k}") for k in gen["params"]["dimensions"]]
-        drawn[f"_d{g}"] = F.when(F.col("_pick") == g, _draw(gen, values, F.col("id"), seed + 1009 * (g + 1)))
+        drawn[f"_d{g}"] = F.when(F.col("_pick") == g, _draw(gen, values, "id", seed + 1009 * (g + 1)))
     df = df.withColumns(drawn)
     new: dict[str, Column] = {}
     label = F.col("label")
