@@ -266,13 +266,17 @@ def check_spec(spec: dict) -> None:
             raise ValueError(f"dimensions {sorted(missing)} are undefined")
 
 
-def _draw(gen: dict, values: list[Column], key: str, seed: int) -> Column:
-    """``array<double>`` for the generator's dimensions; unfilled entries are null."""
+def _draw(gen: dict) -> Column:
+    """``array<double>`` for the generator's dimensions; unfilled entries are null.
+
+    Reads the row's state ``s0..`` and its uniforms ``_u0.., _w``, so one
+    expression per generator serves every attempt.
+    """
+    values = [F.col(f"s{k}") for k in gen["params"]["dimensions"]]
     par, kind = gen["params"], GENERATORS[gen["type"]]
     pdf = par["pdf"]
     pdf = json.loads(pdf) if isinstance(pdf, str) else pdf
-    us = [unit(key, seed + 31 * r) for r in range(RETRIES)]
-    u2 = unit(key, seed + 977)
+    us, u2 = [F.col(f"_u{r}") for r in range(RETRIES)], F.col("_w")
     if kind == "one":
         return F.array(sample_pdf_1d(us[0], pdf))
     if kind == "two":
@@ -294,15 +298,26 @@ def _draw(gen: dict, values: list[Column], key: str, seed: int) -> Column:
     return F.when(fresh, pt).otherwise(F.array(*values))
 
 
-def _fill(df: DataFrame, dim: int, gens: list[dict], share: Column, seed: int) -> DataFrame:
-    """One attempt at the rows whose dimension is still open."""
-    picked = F.when(F.col(f"s{dim}").isNull(), _pick(share, unit("id", seed), len(gens)))
-    df = df.withColumn("_pick", picked)
-    drawn = {}
-    for g, gen in enumerate(gens):
-        values = [F.col(f"s{k}") for k in gen["params"]["dimensions"]]
-        drawn[f"_d{g}"] = F.when(F.col("_pick") == g, _draw(gen, values, "id", seed + 1009 * (g + 1)))
+def _fill(df: DataFrame, dim: int, gens: list[dict], draws: list[Column], seed: int) -> DataFrame:
+    """Fill one dimension where it is open, by a generator that can.
+
+    Drawing again until a generator accepts is choosing by weight among those
+    that accept, so every row is settled in one step.
+    """
+    uniforms = {f"_u{r}": unit("id", seed + 1009 + 31 * r) for r in range(RETRIES)}
+    open_ = F.col(f"s{dim}").isNull()
+    df = df.withColumns({**uniforms, "_w": unit("id", seed + 1986)})
+    drawn = {f"_d{g}": F.when(open_, d) for g, d in enumerate(draws)}
     df = df.withColumns(drawn)
+    upto, sums = F.lit(0.0), []
+    for g, gen in enumerate(gens):
+        place = gen["params"]["dimensions"].index(dim)
+        can = F.get(F.col(f"_d{g}"), F.lit(place)).isNotNull()
+        upto = upto + F.when(can, F.lit(float(gen["weight"]))).otherwise(F.lit(0.0))
+        sums.append(upto)
+    df = df.withColumn("_sums", F.array(*sums))
+    goal = unit("id", seed) * F.element_at("_sums", len(gens))
+    df = df.withColumn("_pick", F.when(open_, F.size(F.filter("_sums", lambda c: c <= goal))))
     new: dict[str, Column] = {}
     label = F.col("label")
     for g, gen in enumerate(gens):
@@ -312,10 +327,10 @@ def _fill(df: DataFrame, dim: int, gens: list[dict], share: Column, seed: int) -
         if gen["params"].get("labeled") is not None:
             whole = here & F.forall(got, lambda x: x.isNotNull())
             label = F.when(F.col("label").isNull() & whole, F.lit(int(gen["params"]["labeled"]))).otherwise(label)
-    return df.withColumns({**new, "label": label}).drop("_pick", *drawn)
+    return df.withColumns({**new, "label": label}).drop("_pick", "_sums", "_w", *uniforms, *drawn)
 
 
-def mixture_rows(ids: DataFrame, spec: dict, seed: int, attempts: int = 2) -> DataFrame:
+def mixture_rows(ids: DataFrame, spec: dict, seed: int) -> DataFrame:
     """``id, features, label`` for every id from a generator specification.
 
     Each dimension picks one of its generators by weight; a joint generator fills
@@ -327,16 +342,16 @@ def mixture_rows(ids: DataFrame, spec: dict, seed: int, attempts: int = 2) -> Da
     dims = spec["dims"]
     gens = spec["generators"]
     df = ids.select("id", *[F.lit(None).cast("double").alias(f"s{i}") for i in range(dims)], F.lit(None).cast("int").alias("label"))
-    step = 0
+    made: dict[int, tuple] = {}
     for i in range(dims):
         mine = [g for g in gens if i in g["params"]["dimensions"]] or [
             {"type": "OneDPDF", "weight": 1.0, "params": {"pdf": [1.0] * 11, "dimensions": [i]}}
         ]
-        share = np.cumsum([g["weight"] for g in mine]) / sum(g["weight"] for g in mine)
-        tries = attempts if any(GENERATORS[g["type"]] != "one" for g in mine) else 1
-        for _ in range(tries):
-            step += 1
-            df = _fill(df, i, mine, _array(share), seed + 100_003 * step)
+        for g in mine:
+            if id(g) not in made:
+                made[id(g)] = (g, _draw(g))
+        draws = [made[id(g)][1] for g in mine]
+        df = _fill(df, i, mine, draws, seed + 100_003 * (i + 1))
     return df.select("id", F.array(*[f"s{i}" for i in range(dims)]).alias("features"), F.coalesce("label", F.lit(0)).alias("label"))
 
 
