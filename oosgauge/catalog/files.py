@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from oosgauge.catalog.base import EO, PTS, SPLIT_SEED, embeddings, query, r6, table
 from oosgauge.catalog.prep import _strat
 from oosgauge.operators import prep as P
-from oosgauge.plans.reports import experiment_grid
 from oosgauge.session import scratch_root
 from oosgauge.sources import staged as S
 
