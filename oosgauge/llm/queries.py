@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oosgauge.llm import chat, decontaminate, mixing, quality_rules, secret_scan, suffix_dedup
+from oosgauge.llm import chat, decontaminate, mixing, pii, quality_rules, secret_scan, suffix_dedup
 from oosgauge.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +70,11 @@ def op4_chat_format(spark, sf_dir):
     return chat.read_back(chat.format_chats(rows.unionByName(extra)))
 
 
+@query
+def op6_pii(spark, sf_dir):
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_suffix_dedup(spark, sf_dir):
     return suffix_dedup.drop_repeats(table(spark, sf_dir, "documents"))
