@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oosgauge.llm import chat, decontaminate, mixing, pii, quality_rules, secret_scan, suffix_dedup
+from oosgauge.llm import chat, decontaminate, lm_score, mixing, pii, quality_rules, secret_scan, suffix_dedup
 from oosgauge.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,3 +174,9 @@ FROM r LEFT JOIN over ON r.stratum = over.stratum"""
 @query(sql=_quality_sql())
 def op9_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+
+@query
+def op10_lm_score(spark, sf_dir):
+    return lm_score.lm_scores(table(spark, sf_dir, "documents"))
