@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oosgauge.llm import chat, decontaminate, lm_score, mixing, pii, quality_rules, secret_scan, suffix_dedup
+from oosgauge.llm import chat, decontaminate, lm_score, mixing, ngram_join, pii, quality_rules, secret_scan, suffix_dedup
 from oosgauge.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +46,11 @@ def op2_secret_scan(spark, sf_dir):
     return secret_scan.secret_scan(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_ngram_join(spark, sf_dir):
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 _CONTROLS = r"<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|\[ROLE|\[/ROLE\]|\\"
 
 

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from oosgauge.llm.sieve import bit_table, passing
 from oosgauge.llm.text import M1, M2, U64, per_batch, pick, raw
 from oosgauge.session import stable
 
@@ -150,8 +151,7 @@ def _position_rows(s: Settings, shared, bits: int):
                 got = blocks(texts, s.length)
                 if got is None:
                     continue
-                slot = got.bucket & U64(bits - 1)
-                hit = np.flatnonzero(sieve[slot >> U64(3)] >> (slot & U64(7)).astype(np.uint8) & 1)
+                hit = np.flatnonzero(passing(sieve, bits, got.bucket))
                 if not len(hit):
                     continue
                 size = got.last[hit] - got.first[hit] + 1
@@ -166,41 +166,6 @@ def _position_rows(s: Settings, shared, bits: int):
     return make
 
 
-def _sieve(contested: DataFrame, most: int) -> tuple[bytes, int]:
-    """A bit table with the buckets' low bits set: it may pass others, never stop one of them."""
-    n = contested.count()
-    bits = 1 << 16
-    while bits < min(most, 16 * n):
-        bits *= 2
-
-    def make():
-        table = np.zeros(bits // 8, np.uint8)
-
-        class Fill:
-            def __call__(self, b):
-                slot = b.column("bucket").to_numpy(zero_copy_only=False).view(U64) & U64(bits - 1)
-                np.bitwise_or.at(table, (slot >> U64(3)).astype(np.int64), np.left_shift(1, (slot & U64(7)).astype(np.uint8)).astype(np.uint8))
-                return ()
-
-            def close(self):
-                piece = 1 << 16
-                for i in range(0, len(table), piece):
-                    if table[i : i + piece].any():
-                        yield pa.RecordBatch.from_arrays([pa.array([i // piece]), pa.array([table[i : i + piece].tobytes()])], ["i", "bits"])
-
-        return Fill()
-
-    def union(key, t):
-        out = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in t.column("bits").to_pylist()], axis=0)
-        return pa.table({"i": [key[0].as_py()], "bits": [out.tobytes()]})
-
-    pieces = per_batch(contested, "i long, bits binary", make).groupBy("i").applyInArrow(union, "i long, bits binary")
-    table = bytearray(bits // 8)
-    for i, part in pieces.toLocalIterator():
-        table[i * (1 << 16) : i * (1 << 16) + len(part)] = part
-    return bytes(table), bits
-
-
 def repeated_starts(rows: DataFrame, s: Settings = Settings()) -> DataFrame:
     """``row, first, last``: ranges of positions whose ``length`` bytes also start elsewhere, from ``row, text``."""
     found = stable(per_batch(rows, "bucket long, body long, row long, first long, last long", _block_rows(s)))
@@ -210,7 +175,7 @@ def repeated_starts(rows: DataFrame, s: Settings = Settings()) -> DataFrame:
     )
     whole = found.join(bodies.filter("n > 1").select("bucket", "body"), ["bucket", "body"]).select("row", "first", "last")
     contested = shared.filter("bodies > 1").select("bucket")
-    table, bits = _sieve(contested, s.sieve_bits)
+    table, bits = bit_table(contested, "bucket", s.sieve_bits)
     send = rows.sparkSession.sparkContext.broadcast(table)
     edges = stable(per_batch(rows, "bucket long, name long, row long, first long", _position_rows(s, send, bits)))
     twice = edges.groupBy("bucket", "name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "name")
