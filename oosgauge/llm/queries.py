@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oosgauge.llm import chat, decontaminate, lm_score, mixing, ngram_join, pii, quality_rules, secret_scan, suffix_dedup
+from oosgauge.llm import chat, decontaminate, html_extract, lm_score, mixing, ngram_join, pii, quality_rules, secret_scan, suffix_dedup
 from oosgauge.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,6 +75,11 @@ def op4_chat_format(spark, sf_dir):
     return chat.read_back(chat.format_chats(rows.unionByName(extra)))
 
 
+@query
+def op5_html_extract(spark, sf_dir):
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 @query
 def op6_pii(spark, sf_dir):
     return pii.find_pii(table(spark, sf_dir, "documents"))
