@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oosgauge.llm.text import U64, WordNames, per_batch, pick, raw, shingles
+from oosgauge.llm.text import U64, WordNames, and_row, per_batch, pick, raw, shingles, whole_row
 
 #: A-Z to a-z, ASCII punctuation to spaces
 FOLD = bytes.maketrans((string.ascii_uppercase + string.punctuation).encode(), (string.ascii_lowercase + " " * len(string.punctuation)).encode())
@@ -152,24 +152,38 @@ def contaminated(
     texts, items under ``min_words`` words and an empty benchmark find nothing; repeated
     documents or items are found each by itself, rows of one item id together.
     """
-    bench = items.select(F.col(item_col).cast("bigint").alias("item_id"), F.col(item_text).cast("string").alias("text")).filter("text is not null")
-    chars = bench.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    n_slices = 1 + chars // s.slice_chars
     rows = pick(docs, id_col, text_col)
-    parts = []
-    for k in range(n_slices):
-        mine = bench.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_slices)) == k) if n_slices > 1 else bench
-        passages = Passages(sorted((tuple(r) for r in mine.collect()), key=lambda r: (r[0] is None, r)), s)
-        parts.append(_search(rows, passages.seeded(_document_frequency(rows, passages, s)), s))
+    parts = [_search(rows, p, s) for p in _slices(rows, items, s, item_col, item_text)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    if n_slices == 1:
+    if len(parts) == 1:
         return out
     best = F.max(F.struct("score", "n_matched", (-F.col("first_word")).alias("_f"), "first_word", "last_word"))
     return out.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.score", "b.n_matched", "b.first_word", "b.last_word")
 
 
+def _slices(rows: DataFrame, items: DataFrame, s: Settings, item_col: str, item_text: str) -> list[Passages]:
+    """All passages of the benchmark with their seeds, in slices of bounded size."""
+    bench = items.select(F.col(item_col).cast("bigint").alias("item_id"), F.col(item_text).cast("string").alias("text")).filter("text is not null")
+    chars = bench.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    n_slices, out = 1 + chars // s.slice_chars, []
+    for k in range(n_slices):
+        mine = bench.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_slices)) == k) if n_slices > 1 else bench
+        passages = Passages(sorted((tuple(r) for r in mine.collect()), key=lambda r: (r[0] is None, r)), s)
+        out.append(passages.seeded(_document_frequency(rows, passages, s)))
+    return out
+
+
+def clean(
+    docs: DataFrame, items: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` in which ``contaminated`` finds nothing, unchanged."""
+    for p in _slices(pick(docs, id_col, text_col), items, s, item_col, item_text):
+        docs = _search(pick(docs, id_col, text_col, whole_row(docs)), p, s, docs).select("carry.*")
+    return docs
+
+
 def sieved(words: np.ndarray, bounds: np.ndarray, table: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """N-grams of a group of texts, which of them may be known and lie within a text, and in which text."""
     grams = shingles(words, n)
@@ -206,26 +220,36 @@ def _document_frequency(rows: DataFrame, p: Passages, s: Settings) -> dict[int,
     return {r[0]: r[1] for r in counted.collect()}
 
 
-def _search(rows: DataFrame, p: Passages, s: Settings) -> DataFrame:
+def _search(rows: DataFrame, p: Passages, s: Settings, clean_of: DataFrame | None = None) -> DataFrame:
+    """What is found in each row; or, with ``clean_of``, its rows (``carry``) in which nothing is."""
     shared = rows.sparkSession.sparkContext.broadcast((p, p.sieve()))
+    filtering, schema = (False, SCHEMA) if clean_of is None else (True, and_row("", clean_of))
 
     def make():
         names = WordNames()
         passages, sieve = shared.value
 
-        def step(b):
-            got = []
-            ids = b.column("doc_id").to_pylist()
+        def found(b):
             for first, words, bounds in names.grouped([folded(t) for t in raw(b.column("text"))]):
                 grams, at, of = sieved(words, bounds, sieve, s.n)
                 for i in np.unique(of):
                     a, mine = bounds[i], at[of == i]
                     hits = found_in(words[a : bounds[i + 1]], grams[a:], mine - a, passages, s)
-                    got += [(ids[first + i], item, *x) for item, x in sorted(hits.items(), key=lambda kv: (kv[0] is None, kv[0]))]
+                    if hits:
+                        yield first + i, sorted(hits.items(), key=lambda kv: (kv[0] is None, kv[0]))
+
+        def step(b):
+            ids = b.column("doc_id").to_pylist()
+            got = [(ids[i], item, *x) for i, hits in found(b) for item, x in hits]
             cols = list(zip(*got)) or [()] * 6
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [x.split()[0] for x in SCHEMA.split(", ")])
 
-        return step
+        def rest(b):
+            keep = np.ones(b.num_rows, bool)
+            keep[[int(i) for i, _ in found(b)]] = False
+            yield pa.RecordBatch.from_arrays([b.column("carry").filter(pa.array(keep))], ["carry"])
+
+        return rest if filtering else step
 
-    return per_batch(rows, SCHEMA, make)
+    return per_batch(rows, schema, make)

@@ -48,8 +48,9 @@ def weight_of(level: Column, weights: dict[str, float], default: float) -> Colum
 def deal(children: DataFrame, by: list[str], me: str) -> DataFrame:
     """Add ``alloc`` to children with ``cap, weight, given`` (their parent's budget): level filling in closed form.
 
-    Ordered by cap / weight the first children are full; the level is the least one at which
-    the rest, sharing by weight, use up what is left.
+    Ordered by cap / weight the first children are full, and the rest share what is left by
+    weight. The first child that this share does not fill sets the level. Without weight a child gets
+    nothing.
     """
     ratio = F.when(F.col("weight") > 0, F.col("cap") / F.col("weight")).otherwise(F.lit(float("inf")))
     before = Window.partitionBy(*by).orderBy("_r", me).rowsBetween(Window.unboundedPreceding, -1)
@@ -58,9 +59,9 @@ def deal(children: DataFrame, by: list[str], me: str) -> DataFrame:
     share = F.sum("weight").over(group) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
     level = F.when(F.col("_share") > 0, F.greatest(F.col("_left"), F.lit(0.0)) / F.col("_share")).otherwise(F.lit(0.0))
     out = children.withColumn("_r", ratio).withColumns({"_left": left, "_share": share})
-    out = out.withColumn("_fits", level).withColumn("_open", F.col("_fits") <= F.col("_r"))
-    top = F.min(F.when(F.col("_open"), F.col("_fits"))).over(group)
-    alloc = F.when(top.isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), top * F.col("weight")))
+    out = out.withColumn("_fits", level).withColumn("_open", (F.col("weight") > 0) & (F.col("_fits") <= F.col("_r")))
+    top = F.max(F.when(F.col("_open"), F.col("_fits"))).over(group)  # the first open one's: later ones are lower
+    alloc = F.when(F.col("weight") <= 0, 0.0).when(top.isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), top * F.col("weight")))
     return out.withColumn("alloc", alloc).drop("_r", "_left", "_share", "_fits", "_open")
 
 

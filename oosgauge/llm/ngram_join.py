@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oosgauge.llm.sieve import bit_table, passing
-from oosgauge.llm.text import U64, WordNames, per_batch, pick, raw, shingle_set
+from oosgauge.llm.text import U64, WordNames, and_row, per_batch, pick, raw, shingle_set, whole_row
 from oosgauge.operators.graph import connected_components
 from oosgauge.session import stable
 
@@ -385,3 +385,32 @@ def jaccard_components(docs: DataFrame, s: Settings = Settings(), id_col: str =
     least = known.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     out = known.join(least, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.unionByName(one.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def one_of_each(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` per component, unchanged: that of the least id, then the least set.
+
+    Of rows that repeat both id and set one stays. Rows without words are in no component and
+    all stay. A null id loses to any other.
+    """
+    rows = pick(docs, id_col, text_col)
+    read = stable(read_sets(rows, s))
+    linked = components(rows.select("text"), s, read.filter("piece is not null or n > 0"))
+    one = read.filter("n > 0").select("doc_id", "set").distinct()
+    label = one.join(linked, "set", "left").select(F.coalesce("component", "set").alias("label"), F.col("doc_id").isNull().alias("last"), "doc_id", "set")
+    best = label.groupBy("label").agg(F.min(F.struct("last", "doc_id", "set")).alias("b"))
+    best = best.select(F.col("b.set").alias("set"), F.col("b.doc_id").alias("winner"), F.lit(True).alias("wins"))
+
+    def make():
+        names = WordNames()
+
+        def step(b):
+            ids = [set_id(g) if len(g) else None for g in _sets(b, names, s)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.int64()), b.column("carry")], ["doc_id", "set", "carry"])
+
+        return step
+
+    wide = per_batch(pick(docs, id_col, text_col, whole_row(docs)), and_row("doc_id long, set long", docs), make)
+    wide = wide.withColumn("alone", F.when(F.col("set").isNull(), F.monotonically_increasing_id()))
+    kept = wide.join(best, "set", "left").filter(F.col("set").isNull() | (F.col("wins") & F.col("winner").eqNullSafe(F.col("doc_id"))))
+    return kept.dropDuplicates(["set", "alone"]).select("carry.*")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oosgauge.llm.text import WHITE, WordNames, per_batch, pick, raw, shingles
+from oosgauge.llm.text import WHITE, WordNames, and_row, per_batch, pick, raw, shingles, whole_row
 
 RULES = ("symbol_share", "upper_share", "dup_line_share", "repeat_share")
 #: cutoffs tried, in thousandths: a document fails a rule when its share is above the cutoff
@@ -59,8 +59,8 @@ def measure(text: bytes, words: np.ndarray) -> tuple[int, ...]:
     return n, chars, symbols, len(lines) - len(set(lines)), repeat, marks, upper, len(lines)
 
 
-def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum: str = "lang") -> DataFrame:
-    """``doc_id, stratum`` and the counts of every row; a null text has none of anything."""
+def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum: str = "lang", carry: bool = False) -> DataFrame:
+    """``doc_id, stratum`` and the counts of every row, with the row itself if asked; a null text has none of anything."""
 
     def make():
         names = WordNames()
@@ -71,12 +71,16 @@ def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             rows = [measure(texts[first + i], words[a:z]) for first, words, bounds in names.grouped(texts) for i, (a, z) in enumerate(zip(bounds, bounds[1:]))]
             got = list(zip(*rows)) or [()] * len(fields)
             cols = [pa.array(x, pa.int64()) for x in got]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("stratum"), *cols], ["doc_id", "stratum", *(f for f, _ in fields)])
+            rest = [b.column("carry")] if carry else []
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("stratum"), *cols, *rest], ["doc_id", "stratum", *(f for f, _ in fields), *["carry"][: len(rest)]])
 
         return step
 
     level = F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum")
-    return per_batch(pick(docs, id_col, text_col, level), f"doc_id long, stratum string, {COUNTS}", make)
+    schema = f"doc_id long, stratum string, {COUNTS}"
+    if carry:
+        return per_batch(pick(docs, id_col, text_col, level, whole_row(docs)), and_row(schema, docs), make)
+    return per_batch(pick(docs, id_col, text_col, level), schema, make)
 
 
 def share(top, below):
@@ -147,10 +151,21 @@ def quality_rules(
     cutoffs is sent to every task.
     """
     measured = with_rules(text_counts(docs, id_col, text_col, stratum), s)
+    return judged(measured, fit(measured, labels, s, max_strata))
+
+
+def fit(measured: DataFrame, labels: DataFrame, s: Settings, max_strata: int = 10_000) -> list[tuple[str, str, int]]:
     seen = [r.asDict() for r in seen_table(measured, labels).limit(max_strata + 1).collect()]
     if len(seen) > max_strata:
         raise ValueError(f"over {max_strata} strata; name a coarser column")
-    return judged(measured, choose(sorted(seen, key=lambda r: r["stratum"]), s))
+    return choose(sorted(seen, key=lambda r: r["stratum"]), s)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", stratum: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps, unchanged."""
+    cutoffs = fit(with_rules(text_counts(docs, id_col, text_col, stratum), s), labels, s)
+    rows = with_rules(text_counts(docs, id_col, text_col, stratum, carry=True), s)
+    return judged(rows, cutoffs).filter("kept").select("carry.*")
 
 
 def judged(measured: DataFrame, cutoffs: list[tuple[str, str, int]]) -> DataFrame:

@@ -110,8 +110,8 @@ def _case(col: str, weights: dict[str, float]) -> str:
 
 def _deal_sql(src: str, by: str, me: str, keep: str) -> str:
     """The level filling of ``mixing.deal`` over a table with cap, weight and given."""
-    return f"""(SELECT {keep}, CASE WHEN top IS NULL THEN cap ELSE least(cap, top * weight) END AS alloc FROM (
-  SELECT *, min(CASE WHEN fits <= r THEN fits END) OVER (PARTITION BY {by}) AS top FROM (
+    return f"""(SELECT {keep}, CASE WHEN weight <= 0 THEN 0 WHEN top IS NULL THEN cap ELSE least(cap, top * weight) END AS alloc FROM (
+  SELECT *, max(CASE WHEN weight > 0 AND fits <= r THEN fits END) OVER (PARTITION BY {by}) AS top FROM (
   SELECT *, CASE WHEN share > 0 THEN greatest(rest, 0) / share ELSE 0 END AS fits FROM (
   SELECT *, given - coalesce(sum(cap) OVER w, 0) AS rest, sum(weight) OVER (PARTITION BY {by}) - coalesce(sum(weight) OVER w, 0) AS share
   FROM (SELECT *, CASE WHEN weight > 0 THEN cap / weight ELSE 'inf'::DOUBLE END AS r FROM {src})
@@ -190,3 +190,10 @@ def op9_quality_rules(spark, sf_dir):
 @query
 def op10_lm_score(spark, sf_dir):
     return lm_score.lm_scores(table(spark, sf_dir, "documents"))
+
+
+@query
+def pipeline(spark, sf_dir):
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)

@@ -15,8 +15,9 @@ import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from oosgauge.llm.text import per_batch, pick
+from oosgauge.llm.text import and_row, per_batch, pick, whole_row
 
 KINDS = ("assign", "access", "hex", "literal")
 ASSIGN = re.compile(
@@ -149,3 +150,21 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     schema = "doc_id long, n_assign long, n_access long, n_hex long, n_literal long, base_sha256 string, spans string" + more
     return per_batch(pick(docs, id_col, text_col), schema, make)
+
+
+def without_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """The rows of ``docs`` with every span of ``secret_scan`` replaced; ``length_col`` is set to the new length."""
+
+    def make():
+        def step(b):
+            out = []
+            for value in b.column("text").cast(pa.binary()).to_pylist():
+                text = (value or b"").decode("utf-8", "replace")
+                out.append(None if value is None else redacted(text, scan(text, value)))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), b.column("carry")], ["_clean", "carry"])
+
+        return step
+
+    rows = per_batch(pick(docs, id_col, text_col, whole_row(docs)), and_row("_clean string", docs), make)
+    new = {text_col: F.col("_clean")} | ({length_col: F.length("_clean").cast(docs.schema[length_col].dataType)} if length_col else {})
+    return rows.select(*(new.get(c, F.col(f"carry.`{c}`")).alias(c) for c in docs.columns))

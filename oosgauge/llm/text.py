@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 U64 = np.uint64
 #: odd multipliers of the mixing steps; any odd numbers do
@@ -114,7 +115,7 @@ def raw(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def per_batch(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]]) -> DataFrame:
+def per_batch(df: DataFrame, schema: str | StructType, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]]) -> DataFrame:
     """``mapInArrow`` with state: ``make()`` runs once a task, its result once a batch."""
 
     def run(batches):
@@ -130,3 +131,12 @@ def per_batch(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Record
 def pick(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str | Column) -> DataFrame:
     """``doc_id, text`` and what else is named: further columns never meet an operator's own."""
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one struct ``carry``, to pass through an operator that adds its own."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("carry")
+
+
+def and_row(ddl: str, docs: DataFrame) -> StructType:
+    return (StructType.fromDDL(ddl) if ddl else StructType()).add("carry", docs.schema)
