@@ -34,6 +34,8 @@ FLUSH = 1_000_000
 #: postings of one n-gram in a flush from which on they go around the merge
 HOT = 64
 POSTING = np.dtype([("gram", "<u8"), ("set", "<i8"), ("n", "<i4"), ("at", "<i4")])
+#: bytes of each field that are sent; of an n-gram's name the upper six
+SENT = {"gram": (2, 8), "set": (0, 8), "n": (0, 4), "at": (0, 4)}
 
 
 @dataclass(frozen=True)
@@ -54,6 +56,32 @@ class Settings:
         return -(-self.over * (a + b) // (self.over + self.below))
 
 
+def planes(values: np.ndarray, a: int, z: int) -> bytes:
+    """Bytes ``a`` to ``z`` of each value, one place after the other: small or sorted numbers compress well."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1)[:, a:z].T.tobytes()
+
+
+def from_planes(data: bytes, a: int, z: int, kind: str) -> np.ndarray:
+    part = np.frombuffer(data, np.uint8).reshape(z - a, -1).T
+    out = np.zeros((len(part), np.dtype(kind).itemsize), np.uint8)
+    out[:, a:z] = part
+    return out.view(kind).ravel()
+
+
+def pack(rows: np.ndarray) -> bytes:
+    return b"".join(planes(rows[f], *SENT[f]) for f in SENT)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    n, at = len(data) // sum(z - a for a, z in SENT.values()), 0
+    out = np.empty(n, POSTING)
+    for f, (a, z) in SENT.items():
+        size = n * (z - a)
+        out[f] = from_planes(data[at : at + size], a, z, POSTING[f].str)
+        at += size
+    return out
+
+
 def set_id(grams: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
 
@@ -111,7 +139,7 @@ def in_order(grams: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 
 def postings(docs: DataFrame, s: Settings, shared, segments: int) -> DataFrame:
-    """Packed prefix postings by segment of the n-gram; segment -1 holds those of hot n-grams, to be kept as they are."""
+    """Packed prefix postings by segment of the n-gram; pieces of hot n-grams have a negative segment each, to be kept as they are."""
     shift = U64(64 - int(segments).bit_length() + 1)
 
     class Post:
@@ -142,14 +170,15 @@ def postings(docs: DataFrame, s: Settings, shared, segments: int) -> DataFrame:
                 hot = np.repeat(count > HOT, count)
                 sign = np.zeros(len(rows), bool)
                 sign[first] = True  # one posting of a hot n-gram tells the merge that it is shared
-                out = [(-1, rows[hot][i : i + FLUSH // 10]) for i in range(0, int(hot.sum()), FLUSH // 10)]
+                out = [rows[hot][i : i + FLUSH // 10] for i in range(0, int(hot.sum()), FLUSH // 10)]
+                out = [(-1 - (set_id(x) >> 2 & (1 << 60) - 1), x) for x in out]
                 rest = rows[~hot | sign]
                 seg = (rest["gram"] >> shift).astype(np.int64)
                 cut = np.searchsorted(seg, np.arange(segments + 1))
                 out += [(i, rest[cut[i] : cut[i + 1]]) for i in np.flatnonzero(np.diff(cut))]
                 for i in range(0, len(out), 64):
                     segs, packed = zip(*out[i : i + 64])
-                    yield pa.RecordBatch.from_arrays([pa.array(segs, pa.int64()), pa.array([x.tobytes() for x in packed], pa.binary())], ["seg", "packed"])
+                    yield pa.RecordBatch.from_arrays([pa.array(segs, pa.int64()), pa.array([pack(x) for x in packed], pa.binary())], ["seg", "packed"])
             self.held, self.size = [], 0
 
     return per_batch(docs, "seg long, packed binary", Post)
@@ -182,20 +211,10 @@ def _merged(packed: DataFrame, s: Settings) -> DataFrame:
     """``gram, set, n`` of postings that may meet another set."""
 
     def merge(key, t):
-        rows = np.concatenate([np.frombuffer(x, POSTING) for x in t.column("packed").to_pylist()])
-        return pa.Table.from_batches([_columns(shared_postings(rows, s))])
+        rows = np.concatenate([unpack(x) for x in t.column("packed").to_pylist()])
+        return pa.Table.from_batches([_columns(rows if key[0].as_py() < 0 else shared_postings(rows, s))])
 
-    def unpack():
-        def step(b):
-            for x in b.column("packed").to_pylist():
-                yield _columns(np.frombuffer(x, POSTING))
-
-        return step
-
-    kept = stable(packed)
-    cold = kept.filter("seg >= 0").groupBy("seg").applyInArrow(merge, "gram long, set long, n long")
-    hot = per_batch(kept.filter("seg < 0").select("packed"), "gram long, set long, n long", unpack)
-    return cold.unionByName(hot)
+    return packed.groupBy("seg").applyInArrow(merge, "gram long, set long, n long")
 
 
 class Trie:
@@ -288,7 +307,7 @@ def _blocks(rows: DataFrame, shared, s: Settings) -> DataFrame:
                     if self.now != (lead, block):
                         yield from self.close()
                         self.now = (lead, block)
-                    self.held.append((me, np.frombuffer(grams, U64), label, probe))
+                    self.held.append((me, from_planes(grams, *SENT["gram"], "<u8"), label, probe))
 
             def close(self):
                 if len(self.held) > 1:
@@ -305,21 +324,13 @@ def _blocks(rows: DataFrame, shared, s: Settings) -> DataFrame:
     return per_batch(dealt, "src long, dst long", make)
 
 
-def components(docs: DataFrame, s: Settings, read: DataFrame) -> DataFrame:
-    """``set, component`` of sets that are linked with another."""
-    spark = docs.sparkSession
-    order = bucket_order(read)
-    shared = spark.sparkContext.broadcast(order)
-    segments, size = 64, read.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    while segments * s.per_segment < size // 4:
-        segments *= 2
-    met = stable(_merged(postings(docs, s, shared, segments), s))
-    lead = met.groupBy("gram").agg(F.min("set").alias("lead"))
-    groups = stable(met.join(lead, "gram").select("lead", "set", "n").distinct())
+def with_sets(docs: DataFrame, places: DataFrame, s: Settings) -> DataFrame:
+    """``places`` (rows with ``set``) with the packed n-grams of their sets, read from the texts again.
 
-    wanted = groups.select("set").distinct()
-    table, bits = bit_table(wanted, "set", s.sieve_bits)
-    send = spark.sparkContext.broadcast(table)
+    A bit table keeps most other texts' sets from being sent; the join does the rest.
+    """
+    table, bits = bit_table(places.select("set").distinct(), "set", s.sieve_bits)
+    send = docs.sparkSession.sparkContext.broadcast(table)
 
     def make():
         names, done, sieve = WordNames(), set(), np.frombuffer(send.value, np.uint8)
@@ -330,20 +341,36 @@ def components(docs: DataFrame, s: Settings, read: DataFrame) -> DataFrame:
                 if len(grams) and passing(sieve, bits, np.array([me := set_id(grams)]).view(U64))[0] and me not in done:
                     done.add(me)
                     ids.append(me)
-                    out.append(grams.tobytes())
+                    out.append(planes(grams, *SENT["gram"]))
             if len(done) > 1_000_000:
                 done.clear()
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["set", "grams"])
 
         return step
 
-    sets = stable(per_batch(docs, "set long, grams binary", make).join(wanted, "set", "left_semi").dropDuplicates(["set"]))
+    cols = [c for c in places.columns if c != "set"]
+    of_set = places.groupBy("set").agg(F.collect_list(F.struct(*cols)).alias("at"))
+    sets = per_batch(docs, "set long, grams binary", make).join(of_set, "set").dropDuplicates(["set"])
+    return sets.select("set", "grams", F.explode("at").alias("at")).select("set", "grams", "at.*")
+
+
+def components(docs: DataFrame, s: Settings, read: DataFrame) -> DataFrame:
+    """``set, component`` of sets that are linked with another."""
+    spark = docs.sparkSession
+    order = bucket_order(read)
+    shared = spark.sparkContext.broadcast(order)
+    segments, size = 64, read.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    while segments * s.per_segment < size // 4:
+        segments *= 2
+    met = stable(_merged(postings(docs, s, shared, segments), s))
+    lead = met.groupBy("gram").agg(F.min("set").alias("lead"))
+    groups = stable(met.join(lead, "gram").select("lead", "set", "n").distinct())
 
     blocks = groups.groupBy("lead").agg(F.ceil(F.sum("n") / s.block).cast("long").alias("blocks"))
     sized = groups.join(blocks, "lead").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")))
-    own = blocks.filter("blocks > 1").select("lead", F.col("lead").alias("set"), "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    once = sized.select("lead", "set", "blocks", "block").unionByName(own).distinct()
-    work = once.join(sets, "set").select("lead", "block", "set", F.col("set").alias("label"), F.lit(True).alias("probe"), "grams")
+    own = blocks.filter("blocks > 1").select("lead", F.col("lead").alias("set"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    once = sized.select("lead", "set", "block").unionByName(own).distinct()
+    work = with_sets(docs, once.select("lead", "block", "set", F.col("set").alias("label"), F.lit(True).alias("probe")), s)
     links = stable(_blocks(work, shared, s))
 
     def joined(links):
@@ -365,7 +392,7 @@ def components(docs: DataFrame, s: Settings, read: DataFrame) -> DataFrame:
     left = other.withColumn("_n", F.col("blocks")).drop("block").withColumn("block", every).select("lead", "set", "label", pair.alias("block"), F.lit(True).alias("probe"))
     right = wide.join(probes, "lead").withColumn("_n", F.col("parts")).withColumn("part", every).select("lead", "set", "label", pair.alias("block"), F.lit(False).alias("probe"))
     cross = left.unionByName(right).groupBy("lead", "block", "set", "label").agg(F.max("probe").alias("probe"))
-    more = stable(_blocks(cross.join(sets, "set"), shared, s))
+    more = stable(_blocks(with_sets(docs, stable(cross), s), shared, s))
     return found if more.isEmpty() else joined(links.unionByName(more))
 
 
