@@ -9,9 +9,11 @@ needs no exchange, and each level reuses the last one's.
 Across documents, buckets are refined in two steps. Each position is filed under an anchor
 within its string (the position with the least q-byte identifier), which equal strings
 share; the run of positions under one anchor is a block. Blocks meet in the bucket of the
-``length / 2`` bytes at their anchor, and those alone there are done. Where all blocks of a bucket
-are equal, every position in them is repeated. The rest, mostly the edges of copies, are
-refined position by position to ``length`` bytes.
+``length / 2`` bytes at their anchor, and those alone there are done. A block that equals another
+has all its positions repeated. The rest of a bucket is cut into cells of a sixteenth, by the distance to
+the anchor, which meet in the bucket of the bytes that all strings of the cell hold, and are
+settled in the same way. What is left then, mostly the edges of copies, is refined position
+by position.
 """
 
 from __future__ import annotations
@@ -74,9 +76,32 @@ class Blocks:
 
     first: np.ndarray
     last: np.ndarray
-    bucket: np.ndarray
-    body: np.ndarray
-    names: np.ndarray
+    anchor: np.ndarray
+    half: np.ndarray  # identifiers of length / 2 bytes, by position
+    full: np.ndarray  # and of length bytes
+
+    @property
+    def bucket(self) -> np.ndarray:
+        return self.half[self.anchor]
+
+    def body(self) -> np.ndarray:
+        return refine(self.full[self.first], self.full[self.last]) + (self.last - self.first).astype(U64)
+
+    def of(self, which: np.ndarray) -> Blocks:
+        return Blocks(self.first[which], self.last[which], self.anchor[which], self.half, self.full)
+
+    def cells(self, length: int) -> tuple[Blocks, np.ndarray]:
+        """The blocks cut at distances of whole sixteenths from the anchor, and the cells' buckets."""
+        w = length // 16
+        near, far = (self.anchor - self.last) // w, (self.anchor - self.first) // w
+        n = far - near + 1
+        of = np.repeat(np.arange(len(n)), n)
+        j = near[of] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        anchor = self.anchor[of]
+        end = anchor - j * w
+        cut = Blocks(np.maximum(self.first[of], end - w + 1), np.minimum(self.last[of], end), anchor, self.half, self.full)
+        # from the last start of the cell to the end of the string of its first
+        return cut, refine(self.half[end], self.half[end + length // 2 - w + 1])
 
 
 def blocks(texts: list[bytes], length: int) -> Blocks | None:
@@ -101,9 +126,7 @@ def blocks(texts: list[bytes], length: int) -> Blocks | None:
     first, last = edge[:-1], edge[1:] - 1
     real = anchor[first] >= 0
     first, last = first[real], last[real]
-    names = steps[4]
-    body = refine(names[first], names[last]) + (last - first).astype(U64)
-    return Blocks(first, last, steps[3][anchor[first]], body, names)
+    return Blocks(first, last, anchor[first], steps[3], steps[4])
 
 
 def grouped(texts: list[bytes]):
@@ -122,65 +145,70 @@ def _i64(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == U64 else x.astype(np.int64))
 
 
-def _block_rows(s: Settings):
-    def make():
-        def step(b):
-            rows = b.column("row").to_numpy(zero_copy_only=False)
-            for first, texts in grouped([t or b"" for t in raw(b.column("text"))]):
-                got = blocks(texts, s.length)
-                if got is not None and len(got.first):
-                    start = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-                    of = np.searchsorted(start, got.first, "right") - 1
-                    cols = (got.bucket, got.body, rows[first + of], got.first - start[of], got.last - start[of])
-                    yield pa.RecordBatch.from_arrays([_i64(c) for c in cols], ["bucket", "body", "row", "first", "last"])
-
-        return step
+NAMES = ("bucket", "body", "row", "first", "last")
+ROWS = "bucket long, body long, row long, first long, last long"
 
-    return make
 
-
-def _position_rows(s: Settings, shared, bits: int):
-    """Positions of blocks whose bucket may be contested, with their ``length``-byte identifiers."""
+def _level(s: Settings, depth: int, tables: list):
+    """Rows of a level: blocks (0), cells of contested blocks (1), positions of contested cells (2)."""
 
     def make():
-        sieve = np.frombuffer(shared.value, np.uint8)
+        sieves = [(np.frombuffer(t.value, np.uint8), bits) for t, bits in tables]
+
+        def rows_of(got: Blocks):
+            if depth == 0:
+                return got.bucket, got.body(), got.first, got.last
+            got = got.of(passing(*sieves[0], got.bucket))
+            cells, bucket = got.cells(s.length)
+            if depth == 1:
+                return bucket, cells.body(), cells.first, cells.last
+            hit = passing(*sieves[1], bucket)
+            cells, bucket = cells.of(hit), bucket[hit]
+            size = cells.last - cells.first + 1
+            at = np.repeat(cells.first - np.cumsum(size) + size, size) + np.arange(size.sum())
+            return np.repeat(bucket, size), cells.full[at], at, at
 
         def step(b):
             rows = b.column("row").to_numpy(zero_copy_only=False)
-            for first, texts in grouped([t or b"" for t in raw(b.column("text"))]):
+            for i, texts in grouped([t or b"" for t in raw(b.column("text"))]):
                 got = blocks(texts, s.length)
                 if got is None:
                     continue
-                hit = np.flatnonzero(passing(sieve, bits, got.bucket))
-                if not len(hit):
-                    continue
-                size = got.last[hit] - got.first[hit] + 1
-                at = np.repeat(got.first[hit] - np.cumsum(size) + size, size) + np.arange(size.sum())
-                start = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-                of = np.searchsorted(start, at, "right") - 1
-                cols = (np.repeat(got.bucket[hit], size), got.names[at], rows[first + of], at - start[of])
-                yield pa.RecordBatch.from_arrays([_i64(c) for c in cols], ["bucket", "name", "row", "first"])
+                bucket, body, first, last = rows_of(got)
+                if len(first):
+                    start = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+                    of = np.searchsorted(start, first, "right") - 1
+                    yield pa.RecordBatch.from_arrays([_i64(c) for c in (bucket, body, rows[i + of], first - start[of], last - start[of])], NAMES)
 
         return step
 
     return make
 
 
+def _bodies(found: DataFrame) -> DataFrame:
+    """``bucket, body, n, contested``; contested: some body is alone among others.
+
+    Counts come first, so that a bucket that many documents hold is a few rows for each task.
+    """
+    sizes = found.groupBy("bucket", "body").agg(F.count(F.lit(1)).alias("n"))
+    of_bucket = sizes.groupBy("bucket").agg((F.min("n") == 1).alias("contested"))
+    return sizes.join(of_bucket, "bucket")
+
+
 def repeated_starts(rows: DataFrame, s: Settings = Settings()) -> DataFrame:
     """``row, first, last``: ranges of positions whose ``length`` bytes also start elsewhere, from ``row, text``."""
-    found = stable(per_batch(rows, "bucket long, body long, row long, first long, last long", _block_rows(s)))
-    bodies = found.groupBy("bucket", "body").agg(F.count(F.lit(1)).alias("n"))
-    shared = stable(
-        bodies.groupBy("bucket").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("bodies")).filter("n > 1")
-    )
-    whole = found.join(bodies.filter("n > 1").select("bucket", "body"), ["bucket", "body"]).select("row", "first", "last")
-    contested = shared.filter("bodies > 1").select("bucket")
-    table, bits = bit_table(contested, "bucket", s.sieve_bits)
-    send = rows.sparkSession.sparkContext.broadcast(table)
-    edges = stable(per_batch(rows, "bucket long, name long, row long, first long", _position_rows(s, send, bits)))
-    twice = edges.groupBy("bucket", "name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "name")
-    single = edges.join(twice, ["bucket", "name"]).select("row", "first", F.col("first").alias("last"))
-    return whole.unionByName(single)
+    tables, whole = [], None
+    for depth in range(3):
+        found = stable(per_batch(rows, ROWS, _level(s, depth, tables)))
+        shared = found.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
+        met = stable(found.join(shared, "bucket"))  # all else is over what is shared
+        bodies = stable(_bodies(met))
+        twice = met.join(bodies.filter("n > 1").select("bucket", "body"), ["bucket", "body"]).select("row", "first", "last")
+        whole = twice if whole is None else whole.unionByName(twice)
+        if depth < 2:
+            table, bits = bit_table(bodies.filter("contested").select("bucket").distinct(), "bucket", s.sieve_bits)
+            tables = [*tables, (rows.sparkSession.sparkContext.broadcast(table), bits)]
+    return whole
 
 
 def _spans(first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
