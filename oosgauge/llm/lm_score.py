@@ -26,7 +26,7 @@ from oosgauge.session import stable
 END = U64(0x656E64)
 ONE, PAIR = 0, 1
 #: tokens counted in memory before they are handed on
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 
 
 @dataclass(frozen=True)

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 U64 = np.uint64
+#: rows taken from an Arrow batch at a time, which bounds the Python copies of texts
+SLICE = 1024
 #: odd multipliers of the mixing steps; any odd numbers do
 M1, M2 = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
 #: bytes.split(), strip() and lower() without arguments mean exactly [\x20\x09-\x0D] and A-Z
@@ -116,12 +118,13 @@ def raw(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
 
 
 def per_batch(df: DataFrame, schema: str | StructType, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]]) -> DataFrame:
-    """``mapInArrow`` with state: ``make()`` runs once a task, its result once a batch."""
+    """``mapInArrow`` with state: ``make()`` runs once a task, its result once for each ``SLICE`` rows."""
 
     def run(batches):
         step = make()
         for b in batches:
-            yield from step(b)
+            for i in range(0, b.num_rows, SLICE):
+                yield from step(b.slice(i, SLICE))
         if hasattr(step, "close"):
             yield from step.close()
 
