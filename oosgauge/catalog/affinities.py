@@ -1,3 +1,5 @@
+import math
+
 from pyspark.sql import functions as F
 
 from oosgauge.catalog.base import EO, PAIRS, PTS, RANKS, embeddings, query, r6, split_embeddings
@@ -44,12 +46,28 @@ def _p8(df):
     return df.select("i", "j", F.round(F.col("p") * 1000.0, 6).alias("p1000"))
 
 
-@query("perplexity_calibrate")
+#: form -> value asked for, entropy in the form's unit
+ASKED = {"beta": (10.0, math.log(10.0)), "sigma": (3.0, 3.0), "root": (10.0, math.log2(10.0))}
+
+
+@query(
+    "perplexity_calibrate",
+    f"WITH {PTS} SELECT id, how, round(h, 2) AS entropy, true AS positive FROM pts, (VALUES "
+    + ", ".join(f"('{how}', {h!r}::DOUBLE)" for how, (_, h) in ASKED.items())
+    + ") t(how, h)",
+)
 def perplexity_calibrate(spark, d):
-    n = knn(embeddings(spark, d), K)
-    out = None
-    for how, value in (("beta", 10.0), ("sigma", 3.0), ("root", 10.0)):
-        c = A.calibrate(n, value, how).select("id", F.lit(how).alias("how"), r6("param").alias("param"), r6("entropy").alias("entropy"))
+    """Entropy of each row at its calibrated width, taken anew from the distances: the target."""
+    n, out = knn(embeddings(spark, d), K), None
+    for how, (value, _) in ASKED.items():
+        c = A.calibrate(n, value, how).select("id", "param", F.transform("neighbors", lambda s: s["d"]).alias("d"))
+        if how == "beta":
+            c = c.withColumn("d", F.concat(F.array(F.lit(0.0)), "d"))
+        scale = {"beta": F.col("d") * F.col("d") * F.col("param"), "sigma": F.col("d") * F.col("d") / (2 * F.col("param")), "root": F.col("d") * F.col("param")}[how]
+        e = c.select("id", "param", F.explode("d").alias("d")).withColumn("w", F.exp(-scale))
+        e = e.groupBy("id", "param").agg(F.log(F.sum("w")).alias("z"), (F.sum(scale * F.col("w")) / F.sum("w")).alias("m"))
+        h = (F.col("z") + F.col("m")) / (1.0 if how == "beta" else math.log(2.0))
+        c = e.select("id", F.lit(how).alias("how"), F.round(h, 2).alias("entropy"), (F.col("param") > 0).alias("positive"))
         out = c if out is None else out.unionByName(c)
     return out
 

@@ -80,21 +80,21 @@ def proportion_stages(spark, d):
     return P.proportion_stages(cu, 9)
 
 
-#: cluster, axis, scale, offset of the moved O rows (example specification)
-SHIFTS = [(0, 0, 1.0, 0.5), (0, 1, 1.2, 0.0), (1, 1, 0.8, 0.5), (2, 0, 1.0, -0.5), (2, 2, 1.2, -0.1), (5, 3, 0.7, 2.0)]
-
-
 @query(
     "distribution_shift",
-    f"WITH {PTS}, {EO}, {_LONG.replace('id, split', 'id, split, label')}, sh AS (SELECT * FROM (VALUES "
-    + ", ".join(f"({c}, {a}, {s}::DOUBLE, {o}::DOUBLE)" for c, a, s, o in SHIFTS)
-    + ") t(c, axis, sc, off)) SELECT id, dim::INT AS dim, round(CASE WHEN split = 'O' AND sc IS NOT NULL THEN v * sc + off ELSE v END, 6) AS v "
+    f"WITH {PTS}, {EO}, {_LONG.replace('id, split', 'id, split, label')}, sh AS (SELECT label AS c, label // 2 AS axis, "
+    "round(avg(v[label // 2 + 1]), 3) AS off, 1 + label / 10 AS sc FROM pts WHERE label % 2 = 0 GROUP BY label) "
+    "SELECT id, dim::INT AS dim, round(CASE WHEN split = 'O' AND sc IS NOT NULL THEN v * sc + off ELSE v END, 6) AS v "
     "FROM lg LEFT JOIN sh ON sh.c = lg.label AND sh.axis = lg.dim",
 )
 def distribution_shift(spark, d):
-    pts = P.random_split(embeddings(spark, d), 0.7, SPLIT_SEED)
-    spec = spark.createDataFrame(SHIFTS, "cluster int, axis int, scale double, offset double")
-    return _long(P.distribution_shift(pts, spec))
+    """Each even cluster is stretched by a tenth of its number and moved by its own mean along one axis."""
+    all_points = embeddings(spark, d)
+    axis = F.floor(F.col("label") / 2).cast("int")
+    spec = all_points.filter("label % 2 = 0").groupBy(F.col("label").alias("cluster"), axis.alias("axis")).agg(
+        (1 + F.first("label") / 10).alias("scale"), F.round(F.avg(F.get("features", axis)), 3).alias("offset")
+    )
+    return _long(P.distribution_shift(P.random_split(all_points, 0.7, SPLIT_SEED), spec))
 
 
 @query("union_splits", f"WITH {PTS} SELECT id, label, round(p[1], 6) AS x FROM pts")
