@@ -145,24 +145,31 @@ def _i64(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == U64 else x.astype(np.int64))
 
 
+def ticket(bucket: np.ndarray, row: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return bucket ^ row.view(U64) ^ (first.astype(U64) << U64(32))
+
+
 NAMES = ("bucket", "body", "row", "first", "last")
 ROWS = "bucket long, body long, row long, first long, last long"
 
 
 def _level(s: Settings, depth: int, tables: list):
-    """Rows of a level: blocks (0), cells of contested blocks (1), positions of contested cells (2)."""
+    """Rows of a level: blocks (0), cells of contested blocks (1), positions of contested cells (2).
+
+    Of equal blocks or cells one is taken down to the next level.
+    """
 
     def make():
         sieves = [(np.frombuffer(t.value, np.uint8), bits) for t, bits in tables]
 
-        def rows_of(got: Blocks):
+        def level(got: Blocks, place):
             if depth == 0:
                 return got.bucket, got.body(), got.first, got.last
-            got = got.of(passing(*sieves[0], got.bucket))
+            got = got.of(passing(*sieves[0], ticket(got.bucket, *place(got.first))))
             cells, bucket = got.cells(s.length)
             if depth == 1:
                 return bucket, cells.body(), cells.first, cells.last
-            hit = passing(*sieves[1], bucket)
+            hit = passing(*sieves[1], ticket(bucket, *place(cells.first)))
             cells, bucket = cells.of(hit), bucket[hit]
             size = cells.last - cells.first + 1
             at = np.repeat(cells.first - np.cumsum(size) + size, size) + np.arange(size.sum())
@@ -174,11 +181,16 @@ def _level(s: Settings, depth: int, tables: list):
                 got = blocks(texts, s.length)
                 if got is None:
                     continue
-                bucket, body, first, last = rows_of(got)
+                start = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+
+                def place(at, start=start, i=i):
+                    of = np.searchsorted(start, at, "right") - 1
+                    return rows[i + of], at - start[of]
+
+                bucket, body, first, last = level(got, place)
                 if len(first):
-                    start = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-                    of = np.searchsorted(start, first, "right") - 1
-                    yield pa.RecordBatch.from_arrays([_i64(c) for c in (bucket, body, rows[i + of], first - start[of], last - start[of])], NAMES)
+                    row, at = place(first)
+                    yield pa.RecordBatch.from_arrays([_i64(c) for c in (bucket, body, row, at, at + last - first)], NAMES)
 
         return step
 
@@ -186,11 +198,13 @@ def _level(s: Settings, depth: int, tables: list):
 
 
 def _bodies(found: DataFrame) -> DataFrame:
-    """``bucket, body, n, contested``; contested: some body is alone among others.
+    """``bucket, body, n, ticket, contested``; contested: some body of the bucket is alone, among others.
 
+    The ticket names one member of each body, which stands for all of them on the next level.
     Counts come first, so that a bucket that many documents hold is a few rows for each task.
     """
-    sizes = found.groupBy("bucket", "body").agg(F.count(F.lit(1)).alias("n"))
+    of_row = F.col("bucket").bitwiseXOR(F.col("row")).bitwiseXOR(F.shiftleft("first", 32))
+    sizes = found.groupBy("bucket", "body").agg(F.count(F.lit(1)).alias("n"), F.min(of_row).alias("ticket"))
     of_bucket = sizes.groupBy("bucket").agg((F.min("n") == 1).alias("contested"))
     return sizes.join(of_bucket, "bucket")
 
@@ -206,7 +220,7 @@ def repeated_starts(rows: DataFrame, s: Settings = Settings()) -> DataFrame:
         twice = met.join(bodies.filter("n > 1").select("bucket", "body"), ["bucket", "body"]).select("row", "first", "last")
         whole = twice if whole is None else whole.unionByName(twice)
         if depth < 2:
-            table, bits = bit_table(bodies.filter("contested").select("bucket").distinct(), "bucket", s.sieve_bits)
+            table, bits = bit_table(bodies.filter("contested"), "ticket", s.sieve_bits)
             tables = [*tables, (rows.sparkSession.sparkContext.broadcast(table), bits)]
     return whole
 
