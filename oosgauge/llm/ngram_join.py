@@ -409,7 +409,7 @@ def jaccard_components(docs: DataFrame, s: Settings = Settings(), id_col: str =
     one = read.filter("piece is null").select("doc_id", "n", "set")
     linked = components(rows.select("text"), s, read.filter("piece is not null or n > 0"))
     known = stable(one.filter("n > 0").join(linked, "set", "left").withColumn("label", F.coalesce("component", "set")).select("doc_id", "n", "label"))
-    least = known.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    least = stable(known.groupBy("label").agg(F.min("doc_id").alias("component_id")))  # so that the join can split a hot label
     out = known.join(least, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.unionByName(one.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
@@ -426,7 +426,7 @@ def one_of_each(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id
     one = read.filter("n > 0").select("doc_id", "set").distinct()
     label = one.join(linked, "set", "left").select(F.coalesce("component", "set").alias("label"), F.col("doc_id").isNull().alias("last"), "doc_id", "set")
     best = label.groupBy("label").agg(F.min(F.struct("last", "doc_id", "set")).alias("b"))
-    best = best.select(F.col("b.set").alias("set"), F.col("b.doc_id").alias("winner"), F.lit(True).alias("wins"))
+    best = stable(best.select(F.col("b.set").alias("set"), F.col("b.doc_id").alias("winner"), F.lit(True).alias("wins")))
 
     def make():
         names = WordNames()
