@@ -218,7 +218,8 @@ def oos_isomap(spark, d):
 @query("lisomap")
 def lisomap(spark, d):
     e, o = split_embeddings(spark, d)
-    return xy(L.LandmarkIsomap().fit(e).transform_oos(o))
+    m = L.LandmarkIsomap().fit(e)
+    return xy(m.transform().select("id", "proj").unionByName(m.transform_oos(o).select("id", "proj")))
 
 
 @query("isomap_base")

@@ -110,22 +110,25 @@ def fit_pca(df: DataFrame, k: int = 2, vec: str = "features") -> LinearModel:
     return _fit_subspace(df, k, vec, n, mean)
 
 
-def _fit_subspace(df: DataFrame, k: int, vec: str, n: int, mean: np.ndarray, rounds: int = 40, tol: float = 1e-10) -> LinearModel:
-    """Block power iteration for very wide vectors: only d x (k + 8) numbers move per round."""
+def _fit_subspace(df: DataFrame, k: int, vec: str, n: int, mean: np.ndarray, rounds: int = 2000, tol: float = 1e-8) -> LinearModel:
+    """Block power iteration for very wide vectors: only d x (k + 8) numbers move per round.
+
+    It ends when the residuals of the k vectors are under ``tol`` of the largest value.
+    """
     d = len(mean)
     width = min(d, k + 8)
     q, _ = np.linalg.qr(np.random.default_rng(0).standard_normal((d, width)))
-    last = None
     for _ in range(rounds):
         basis = q
         w = sum_rows(df, lambda m: (m - mean).T @ ((m - mean) @ basis), vec, d) / max(n - 1, 1)
         values, rot = np.linalg.eigh(basis.T @ w)
         order = np.argsort(values)[::-1]
         vectors, values = basis @ rot[:, order], values[order]
-        if last is not None and np.abs(values[:k] - last).max() <= tol * max(values[0], 1e-300):
+        if np.linalg.norm(w @ rot[:, order[:k]] - vectors[:, :k] * values[:k], axis=0).max() <= tol * max(values[0], 1e-300):
             break
-        last = values[:k]
         q, _ = np.linalg.qr(w)
+    else:
+        raise RuntimeError(f"components not converged after {rounds} rounds")
     spread = sum_rows(df, lambda m: np.array([[((m - mean) ** 2).sum()]]), vec, 1)
     return LinearModel(mean, orient(vectors[:, :k]), values[:k], float(spread[0, 0]) / max(n - 1, 1))
 

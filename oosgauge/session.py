@@ -56,9 +56,16 @@ def parallelism(spark: SparkSession) -> int:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Shared folder the cluster names; a private one only where none is named."""
+    """The shared folder that the cluster names in spark.checkpoint.dir.
+
+    A session on one machine may go without: it gets a temporary folder. On a cluster that
+    would be a folder per machine, so there it is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="oosgauge-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
