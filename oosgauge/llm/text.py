@@ -125,12 +125,21 @@ def per_batch(df: DataFrame, schema: str | StructType, make: Callable[[], Callab
         for b in batches:
             for i in range(0, b.num_rows, SLICE):
                 yield from step(b.slice(i, SLICE))
+            del b  # before the next one is read
         if hasattr(step, "close"):
             yield from step.close()
 
+    small_batches(df)
     return df.mapInArrow(run, schema)
 
 
+def small_batches(df: DataFrame) -> None:
+    """Let Arrow hand over at most ``SLICE`` rows at once in this session: texts are long, and both sides hold a batch."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > SLICE:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(SLICE))
+
+
 def pick(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str | Column) -> DataFrame:
     """``doc_id, text`` and what else is named: further columns never meet an operator's own."""
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
