@@ -214,10 +214,13 @@ def repeated_starts(rows: DataFrame, s: Settings = Settings()) -> DataFrame:
     tables, whole = [], None
     for depth in range(3):
         found = stable(per_batch(rows, ROWS, _level(s, depth, tables)))
-        shared = found.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
-        met = stable(found.join(shared, "bucket"))  # all else is over what is shared
-        bodies = stable(_bodies(met))
-        twice = met.join(bodies.filter("n > 1").select("bucket", "body"), ["bucket", "body"]).select("row", "first", "last")
+        if depth < 2:
+            shared = found.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
+            found = stable(found.join(shared, "bucket"))  # all else is over what is shared
+            bodies = stable(_bodies(found))
+        else:
+            bodies = found.groupBy("bucket", "body").agg(F.count(F.lit(1)).alias("n"))
+        twice = found.join(bodies.filter("n > 1").select("bucket", "body"), ["bucket", "body"]).select("row", "first", "last")
         whole = twice if whole is None else whole.unionByName(twice)
         if depth < 2:
             table, bits = bit_table(bodies.filter("contested"), "ticket", s.sieve_bits)
