@@ -38,10 +38,13 @@ def union(spark, d):
     return Z.fuzzy_union(directed(spark, d), "UMAP")
 
 
-@query("smooth_knn_dist")
+@query("smooth_knn_dist", f"{_W} SELECT i AS id, round(log2({K}::DOUBLE), 3) AS mass, round(min(dh), 6) AS rho FROM rk WHERE rh <= {K} GROUP BY i")
 def smooth_knn_dist(spark, d):
+    """Membership mass of each row at its bandwidth, the first neighbour left out: the target log2 k; and the nearest distance."""
     out = Z.smooth_knn_dist(knn(embeddings(spark, d), K), K)
-    return out.select("id", r6("sigma").alias("sigma"), r6("rho").alias("rho"))
+    rest = F.slice(F.transform("neighbors", lambda s: s["d"]), 2, K)
+    mass = F.aggregate(rest, F.lit(0.0), lambda a, x: a + F.exp(-F.greatest(x - F.col("rho"), F.lit(0.0)) / F.col("sigma")))
+    return out.select("id", F.round(mass, 3).alias("mass"), r6("rho").alias("rho"))
 
 
 @query("membership_strength", f"{_W}, {DW} SELECT i, j, round(w, 6) AS w, round(d, 6) AS d FROM dw")

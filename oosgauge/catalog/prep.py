@@ -97,9 +97,10 @@ def distribution_shift(spark, d):
     return _long(P.distribution_shift(P.random_split(all_points, 0.7, SPLIT_SEED), spec))
 
 
-@query("union_splits", f"WITH {PTS} SELECT id, label, round(p[1], 6) AS x FROM pts")
+@query("union_splits", f"WITH {PTS} SELECT id, label, (generate_subscripts(v, 1) - 1)::INT AS dim, round(unnest(v), 6) AS x FROM pts")
 def union_splits(spark, d):
-    return P.union_splits(*split_embeddings(spark, d)).select("id", "label", r6(F.col("proj")[0]).alias("x"))
+    both = P.union_splits(*split_embeddings(spark, d))
+    return both.select("id", "label", F.posexplode("features").alias("dim", "x")).withColumn("x", r6("x"))
 
 
 @query("label_counts", "SELECT l_returnflag AS label, count(*) AS n FROM lineitem GROUP BY l_returnflag")

@@ -107,7 +107,8 @@ class Trainer:
             pairs.select(
                 F.concat("x", "y").alias("z"),
                 F.when(u < validation, -1).otherwise(F.floor(unit("id", seed + 1) * batches)).cast("int").alias("b"),
-            )
+            ),
+            by="b",
         )
         sizes = {r["b"]: r["count"] for r in data.groupBy("b").count().collect()}
         flat = np.concatenate([np.concatenate([l.weight.ravel(), l.bias]) for l in self.layers])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oosgauge.functions.draws import mix, shuffled_position
+from oosgauge.session import sized
 
 # --- scaling ----------------------------------------------------------------
 
@@ -53,7 +54,7 @@ def global_minmax(df: DataFrame, vec: str = "proj", by: list[str] | None = None)
     """One min and max over all coordinates of a batch (of each ``by`` group)."""
     by = by or []
     lim = df.groupBy(*by).agg(F.min(F.array_min(vec)).alias("_lo"), F.max(F.array_max(vec)).alias("_hi"))
-    joined = df.join(lim, by) if by else df.join(F.broadcast(lim))  # one row
+    joined = df.join(sized(lim), by) if by else df.join(F.broadcast(lim))  # one row
     span = F.col("_hi") - F.col("_lo")
     return joined.withColumn(
         vec, F.transform(vec, lambda x: F.try_divide(x - F.col("_lo"), span))
@@ -78,9 +79,9 @@ def stratified_split(
     frac = F.lit(float(fraction)) if not isinstance(fraction, Column) else fraction
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_size"))
     placed = shuffled_position(df, id_col, seed, [label])
-    sized = placed.join(sizes.withColumnRenamed(label, "_l"), F.col(label).eqNullSafe(F.col("_l"))).drop("_l")
+    joined = placed.join(sized(sizes.withColumnRenamed(label, "_l")), F.col(label).eqNullSafe(F.col("_l"))).drop("_l")
     cut = F.round(frac * F.col("_size").cast("double"))
-    return sized.withColumn("split", F.when(F.col("pos") <= cut, "E").otherwise("O")).drop("pos", "_size")
+    return joined.withColumn("split", F.when(F.col("pos") <= cut, "E").otherwise("O")).drop("pos", "_size")
 
 
 #: training shares of the staged tables (fixed values)
@@ -95,7 +96,7 @@ def proportion_stages(
     placed = shuffled_position(df, id_col, seed, group)
     if label:
         sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_size")).withColumnRenamed(label, "_l")
-        placed = placed.join(sizes, F.col(label).eqNullSafe(F.col("_l"))).drop("_l")
+        placed = placed.join(sized(sizes), F.col(label).eqNullSafe(F.col("_l"))).drop("_l")
     else:
         placed = placed.withColumn("_size", F.lit(df.count()))
     fr = F.array(*[F.lit(float(f)) for f in fractions])

@@ -8,6 +8,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -71,13 +72,24 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
-def stable(df: DataFrame) -> DataFrame:
+#: rows of a table that may be sent to every task
+MOST_SENT = 100_000
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """Marked for broadcast if it has at most ``MOST_SENT`` rows; otherwise as it is, joined by shuffle."""
+    return F.broadcast(df) if df.limit(MOST_SENT + 1).count() <= MOST_SENT else df
+
+
+def stable(df: DataFrame, by: str | None = None) -> DataFrame:
     """Cut lineage: write ``df`` as a table in the shared folder and read it back.
 
     Survives the loss of any executor, gives later joins a known size, and pins
-    anything that would differ between two evaluations.
+    anything that would differ between two evaluations. With ``by`` a filter on that column
+    reads its rows alone.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark).rstrip('/')}/oosgauge-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write.partitionBy(by) if by else df.write
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
