@@ -363,7 +363,7 @@ def components(docs: DataFrame, s: Settings, read: DataFrame) -> DataFrame:
     while segments * s.per_segment < size // 4:
         segments *= 2
     met = stable(_merged(postings(docs, s, shared, segments), s))
-    lead = met.groupBy("gram").agg(F.min("set").alias("lead"))
+    lead = stable(met.groupBy("gram").agg(F.min("set").alias("lead")))  # so that the join can split a hot n-gram
     groups = stable(met.join(lead, "gram").select("lead", "set", "n").distinct())
 
     blocks = groups.groupBy("lead").agg(F.ceil(F.sum("n") / s.block).cast("long").alias("blocks"))
