@@ -35,7 +35,7 @@ class Settings:
     probes: int = 4
     prior: float = 4.0  # weight of the single-token probability in a pair's
     slice_mb: int = 192  # most of a filter sent at once
-    frequent: int = 2_000_000  # most tokens in the exact table sent to all
+    frequent: int = 250_000  # most tokens in the exact table sent to all; the others are joined
     per_segment: int = 1_000_000
 
 
