@@ -205,7 +205,7 @@ def _bodies(found: DataFrame) -> DataFrame:
     """
     of_row = F.col("bucket").bitwiseXOR(F.col("row")).bitwiseXOR(F.shiftleft("first", 32))
     sizes = found.groupBy("bucket", "body").agg(F.count(F.lit(1)).alias("n"), F.min(of_row).alias("ticket"))
-    of_bucket = sizes.groupBy("bucket").agg((F.min("n") == 1).alias("contested"))
+    of_bucket = stable(sizes.groupBy("bucket").agg((F.min("n") == 1).alias("contested")))
     return sizes.join(of_bucket, "bucket")
 
 
@@ -215,7 +215,8 @@ def repeated_starts(rows: DataFrame, s: Settings = Settings()) -> DataFrame:
     for depth in range(3):
         found = stable(per_batch(rows, ROWS, _level(s, depth, tables)))
         if depth < 2:
-            shared = found.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
+            # written, so that the join can split a bucket that many documents hold
+            shared = stable(found.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket"))
             found = stable(found.join(shared, "bucket"))  # all else is over what is shared
             bodies = stable(_bodies(found))
         else:
