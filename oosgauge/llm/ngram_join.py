@@ -168,11 +168,12 @@ def postings(docs: DataFrame, s: Settings, shared, segments: int) -> DataFrame:
                 first = np.flatnonzero(np.concatenate([[True], rows["gram"][1:] != rows["gram"][:-1]]))
                 count = np.diff(np.concatenate([first, [len(rows)]]))
                 hot = np.repeat(count > HOT, count)
-                sign = np.zeros(len(rows), bool)
-                sign[first] = True  # one posting of a hot n-gram tells the merge that it is shared
                 out = [rows[hot][i : i + FLUSH // 10] for i in range(0, int(hot.sum()), FLUSH // 10)]
                 out = [(-1 - (set_id(x) >> 2 & (1 << 60) - 1), x) for x in out]
-                rest = rows[~hot | sign]
+                sign = rows[first[count > HOT]]  # tells the merge that these n-grams have postings it does not see
+                sign["n"] = 0
+                rest = np.concatenate([rows[~hot], sign])
+                rest = rest[np.argsort(rest["gram"], kind="stable")]
                 seg = (rest["gram"] >> shift).astype(np.int64)
                 cut = np.searchsorted(seg, np.arange(segments + 1))
                 out += [(i, rest[cut[i] : cut[i + 1]]) for i in np.flatnonzero(np.diff(cut))]
@@ -185,15 +186,18 @@ def postings(docs: DataFrame, s: Settings, shared, segments: int) -> DataFrame:
 
 
 def shared_postings(rows: np.ndarray, s: Settings) -> np.ndarray:
-    """Postings of n-grams that two sets share, where sizes and places allow enough overlap with some other set."""
+    """Postings of n-grams that two sets share, where sizes and places allow enough overlap with some other set.
+
+    A sign (``n = 0``) stands for postings that went around the merge, of any size and place: all of its n-gram stay.
+    """
     rows = np.unique(rows)  # copies from several tasks
     first = np.flatnonzero(np.concatenate([[True], rows["gram"][1:] != rows["gram"][:-1]])) if len(rows) else np.zeros(0, np.int64)
     keep = np.zeros(len(rows), bool)
     for a, z in zip(first, [*first[1:], len(rows)]):
         if z - a < 2:
             continue
-        if z - a > HOT:
-            keep[a:z] = True
+        if z - a > HOT or not rows["n"][a:z].all():
+            keep[a:z] = rows["n"][a:z] > 0
             continue
         n, left = rows["n"][a:z].astype(np.int64), (rows["n"][a:z] - rows["at"][a:z]).astype(np.int64)
         fits = np.minimum(left[:, None], left) >= s.need(n[:, None], n)

@@ -72,6 +72,19 @@ def test_small_blocks_and_hot_ngrams(spark):
         ngram_join.HOT = held
 
 
+def test_lone_copy_of_a_hot_passage_whose_first_posting_misfits(spark):
+    passage, licence = [f"p{i}" for i in range(60)], [f"l{i}" for i in range(60)]
+    edited = lambda i, at: " ".join([*passage[:at], f"x{i}", *passage[at + 1 :]])
+    hot = [(0, " ".join(passage + licence))] + [(i, edited(i, 0)) for i in range(1, 80)]
+    more = [(i, " ".join([*licence, *(f"y{i}_{j}" for j in range(80))])) for i in range(100, 220)]
+    rows = [*hot, (500, edited(500, 59)), *more]
+    parts = spark.sparkContext.parallelize([hot, rows[len(hot) :]], 2).flatMap(lambda part: part)
+    df = spark.createDataFrame(parts, "doc_id long, text string")
+    assert df.rdd.getNumPartitions() == 2
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(df).collect())
+    assert got == sorted(brute(rows))
+
+
 def test_repeated_rows_and_null_ids(spark):
     rows = [(5, "a b c d e f"), (5, "a b c d e f"), (None, "A b c d e f"), (None, "q r s t u v"), (9, "q r s t u v"), (None, "alone in here"), (3, None), (None, None)]
     check(spark, rows)
