@@ -16,6 +16,7 @@ import html
 import math
 import random
 import re
+from collections import Counter
 from functools import lru_cache
 
 import pyarrow as pa
@@ -29,9 +30,22 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html "
     "iframe legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-SILENT = frozenset("script style noscript template svg math head title select option textarea button object canvas audio video iframe".split())
+SILENT = frozenset("script style noscript template svg math title select option textarea button object canvas audio video iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FIELDS = frozenset("input select textarea button".split())
+#: silent elements whose content has no tags but their own end tag
+RAW = {x: re.compile(rf"</{x}(?=[ \t\n\f\r/>])[^>]*+(?:>|\Z)", re.I | re.A) for x in ("script", "style", "textarea", "title")}
+#: silent elements of another vocabulary, and the elements in them that hold HTML again; elsewhere in them a tag of BREAKS ends them
+FOREIGN = {"svg": ("foreignobject", "desc", "title"), "math": ("annotation-xml", "mi", "mo", "mn", "ms", "mtext")}
+BREAKS = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+#: silent elements that start tags of these names end
+ONCE = {"button": ("button",), "option": ("option", "optgroup"), "select": ("select", "input", "textarea")}
+#: silent elements that end with an open paragraph before them at the next block
+PLAIN = frozenset("canvas audio video option".split())
+#: a slash that ends a tag and is not the end of an unquoted value
+UNQUOTED = re.compile(r"""=\s*[^\s"'=]*+(?<=/)$""")
 #: a start tag ends an open element of these names
 IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th")}
 HOLDERS = frozenset("ul ol dl table menu".split())
@@ -59,7 +73,7 @@ class Tree:
 
     def _parse(self, page: str) -> None:
         stack, run, linked, in_link = [0], [], 0, 0
-        silent = None
+        silent, inside, inline = None, Counter(), Counter()  # elements open in the silent one, and open elements that are no blocks
 
         def flush():
             nonlocal linked
@@ -69,8 +83,32 @@ class Tree:
             run.clear()
             linked = 0
 
+        def implied(tag):
+            """Place in the stack of the open element that a start tag ends."""
+            ends = IMPLIED.get(tag, ())
+            for k in range(len(stack) - 1, 0, -1):
+                if self.tags[stack[k]] in ends:
+                    return k
+                if not ends or self.tags[stack[k]] in HOLDERS:
+                    break
+
+        def within(tag, closing):
+            """Whether a tag leaves the silent element open: it ends with itself, its parent, or what the next element may not be in."""
+            if closing:
+                if inside[tag]:
+                    inside[tag] -= 1
+                    return True
+                return tag != silent and tag != "head" and not inline[tag] and tag not in (self.tags[i] for i in stack[1:])
+            if tag == "body" or tag in ONCE.get(silent, ()):
+                return False
+            if silent in FOREIGN:
+                return tag not in BREAKS or any(inside[x] for x in FOREIGN[silent])
+            if tag in BLOCK and not any(inside[x] for x in HOLDERS):
+                return (silent == "template" or implied(tag) is None) and not (silent in PLAIN and self.tags[stack[-1]] == "p")
+            return True
+
         at, end = 0, len(page)
-        for m in TAG.finditer(page):
+        while m := TAG.search(page, at):
             if silent is None and m.start() > at:
                 part = page[at : m.start()]
                 run.append(part)
@@ -80,17 +118,31 @@ class Tree:
             if tag is None:
                 continue
             tag, closing = tag.lower(), bool(m[1] or m[4])
+            attrs = m[3] or m[6] or ""
+            alone = tag in VOID or attrs.endswith("/") and not UNQUOTED.search(attrs)
             if silent is not None:
-                if closing and tag == silent:
-                    silent = None
-                continue
+                if within(tag, closing):
+                    if not closing and tag in RAW and silent not in FOREIGN:
+                        over = RAW[tag].search(page, at)
+                        at = over.end() if over else end
+                    elif not closing and not alone:
+                        inside[tag] += 1
+                    continue
+                silent = None
             if not closing and tag in FIELDS:
                 self.fields[stack[-1]] += 1
             if tag in SILENT:
                 if not closing:
-                    silent = tag
                     run.append(" ")
+                    if tag in RAW:
+                        over = RAW[tag].search(page, at)
+                        at = over.end() if over else end
+                    elif not alone:
+                        silent = tag
+                        inside.clear()
                 continue
+            if tag not in BLOCK and tag not in VOID:
+                inline[tag] = max(0, inline[tag] + (-1 if closing else 1))
             if tag == "a":
                 in_link = 0 if closing else 1
             elif tag == "br":
@@ -106,16 +158,10 @@ class Tree:
                 continue
             if self.tags[stack[-1]] == "p":
                 stack.pop()
-            ends = IMPLIED.get(tag)
-            if ends:
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tags[stack[k]] in ends:
-                        del stack[k:]
-                        break
-                    if self.tags[stack[k]] in HOLDERS:
-                        break
+            if (k := implied(tag)) is not None:
+                del stack[k:]
             if tag not in VOID:
-                stack.append(self._add(stack[-1], tag, named(tag, m[3] or m[6] or ""), None, 0))
+                stack.append(self._add(stack[-1], tag, named(tag, attrs), None, 0))
                 mark = re.search(r"data-label=\"?([01])", m[3] or "")
                 self.labels[-1] = int(mark[1]) if mark else None
         if silent is None and at < end:
@@ -344,7 +390,8 @@ def main_text(pages: DataFrame, model: Model | None = None, html_col: str = "htm
 
     Null and empty pages, and pages without any content, give an empty text. Broken markup is
     read as browsers would: missing end tags are implied, an unfinished tag or comment is
-    dropped. Rows are read each by itself, so repeated rows repeat their answer.
+    dropped. Elements without text of the page (buttons, canvases, ...) end with their parent at
+    the latest; scripts, styles, titles and text areas at their own end tag alone. Rows are read each by itself, so repeated rows repeat their answer.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model or trained())
     rows = pages.select(*keep, F.col(html_col).cast("string").alias("_html"))

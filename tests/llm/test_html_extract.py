@@ -43,6 +43,27 @@ def test_a_page():
     assert H.trained().text(PAGE) == "A headline & more\nFirst line of it.\nSecond <b> one with words, and more of them."
 
 
+def runs(body):
+    return [t for t in H.Tree(body).text if t]
+
+
+def test_silent_elements_end_where_they_should():
+    assert runs("<p>a</p><script>for(i=0;i<n;i++){a[i]=0}</script><p>b</p>") == ["a", "b"]
+    assert runs("<style>a<b{c:'</p>'}</STYLE ><p>b") == ["b"]
+    assert runs("<p>a <textarea><p>no</textarea> b<script>never ended <p>c") == ["a b"]
+    assert runs("<html><head><meta charset=utf-8><title>no <b</title><body><p>b") == ["b"]
+    assert runs("<html><head><title>no</title><p>b</p>") == ["b"]
+    assert runs("<head><noscript><style>p<q{}</style></head><p>b") == ["b"]
+    assert runs("<p>a<svg width='1'/>b<svg><title>no</title><path/></svg>c") == ["a b c"]
+    assert runs("<p>a<svg><path d=/><p>b") == ["a", "b"]
+    assert runs("<div><button>no</div><p>b</p>") == ["b"]
+    assert runs("<div><canvas><div>no</div>no</div><p>b</p>") == ["b"]
+    assert runs("<ul><li>a<button>no<li>b</ul><p>c") == ["a", "b", "c"]
+    assert runs("<p>a<button><div>no</div>no</button>b</p>") == ["a b"]
+    assert runs("<p><b>a<video>no</b>b<object data=/x/>no</object>c") == ["a b c"]
+    assert runs("<div><select><option>no<option>no</select>b<option>no</div>c") == ["b", "c"]
+
+
 def test_rows(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (None, "v", ""), (3, "w", "<p"), (4, "x", "<" * 50_000 + "&#x41;" + "<p>" * 3000)], "page_id long, url string, html string")
     got = {}
