@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,11 +28,11 @@ NAMED = (b"passw", b"secret", b"token", b"api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
-#: what joins a name to its value; then, after it, a quoted literal or a bare word; and before it, the name
+#: what joins a name to its value; then, after it, a quoted literal or a bare word. Each is read once: possessive repeats, and the scan resumes behind a value
 JOINT = re.compile(r":=|=>|=|:")
-VALUE = re.compile(r"""[ \t]{0,8}(?:"(?P<d>[^"\n]{1,512})"|'(?P<s>[^'\n]{1,512})'|(?P<bare>[A-Za-z0-9+/_.=@$!%^&*~-]{1,512}))""")
-NAME = re.compile(r"""(?:^|(?<=[^A-Za-z0-9_]))(["']?)([A-Za-z_][A-Za-z0-9_.-]{0,63})\1[ \t]{0,8}$""")
-REACH = 80
+VALUE = re.compile(r"""[ \t]*+(?:"(?P<d>[^"\n]++)"|'(?P<s>[^'\n]++)'|(?P<bare>[A-Za-z0-9+/_.=@$!%^&*~-]++))""")
+NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
+NAME_START = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z_]")
 
 #: fixed values: weight of the last words of a name
 SENSITIVE = {
@@ -54,10 +55,29 @@ def literal_weight(value: str) -> float:
         return 0.0
     kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9]"))
     n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in (value.count(x) for x in set(value)))
+    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
     return 0.0 if kinds < 2 else min(1.0, entropy / 4.0) * min(1.0, 0.5 + 0.25 * (kinds - 1))
 
 
+def name_before(text: str, least: int, end: int) -> str | None:
+    """The name, quoted or not, that ends at ``end`` but for blanks and one line end, and begins at ``least`` or later."""
+    z = end - (end > least and text[end - 1] == "\n")  # the joint may begin the next line
+    while z > least and text[z - 1] in " \t":
+        z -= 1
+    quote = text[z - 1] if z > least and text[z - 1] in "\"'" else ""
+    z -= len(quote)
+    a = z
+    while a > least and text[a - 1] in NAME_CHARS:
+        a -= 1
+    name = text[a:z]
+    if not quote:
+        m = NAME_START.search(name)
+        return name[m.start() :] if m else None
+    q = a - 1
+    whole = q >= least and text[q] == quote and (q == least or not (text[q - 1] == "_" or text[q - 1].isascii() and text[q - 1].isalnum()))
+    return name if whole and NAME_START.match(name) else None
+
+
 def literals(text: str, least: float = 0.45) -> list[tuple[int, int]]:
     """Spans of the literals that a sensitive name gets, directly or through constants, in order."""
     constants: dict[str, tuple[int, int, str]] = {}
@@ -67,10 +87,11 @@ def literals(text: str, least: float = 0.45) -> list[tuple[int, int]]:
     for joint in JOINT.finditer(text):
         if joint.start() < at:
             continue
-        name, m = NAME.search(text[max(at, joint.start() - REACH) : joint.start()]), VALUE.match(text, joint.end())
-        if name is None or m is None:
+        name = name_before(text, at, joint.start())
+        m = VALUE.match(text, joint.end()) if name else None
+        if m is None:
             continue
-        at, name = m.end(), name[2]
+        at = m.end()
         kind = "d" if m["d"] is not None else "s" if m["s"] is not None else "bare"
         value, (a, b) = m[kind], m.span(kind)
         if kind == "bare" and re.fullmatch(r"[A-Za-z_]+", value):

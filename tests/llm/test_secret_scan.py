@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from oosgauge.llm.secret_scan import scan, secret_scan, without_secrets
 
@@ -47,6 +48,25 @@ def test_names_literals_and_constants():
     assert literals("a_key = b\nb = a_key\nmy_secret_key := a_key") == []  # names that only name each other
 
 
+def test_long_literals_names_and_columns():
+    rng = random.Random(3)
+    made = lambda k, more="": "".join(rng.choices("ABCXYZabcxyz0189" + more, k=k))
+    jwt, key, quoted = made(800, "_-"), made(1600, "+/"), made(900, "{}")
+    assert literals(f"Authorization: {jwt}\n") == [jwt]
+    assert literals(f'private_key = "{key}"') == [key]
+    assert literals(f"bearer='{quoted}'; x = 1") == [quoted]
+    assert literals(f"auth_key{' ' * 30}={' ' * 200}{jwt}") == [jwt]
+    assert literals(f'{{"{"section." * 30}private_key" : "{key}"}}') == [key]
+    assert literals("x" * 300 + f"_pwd = {jwt}") == [jwt]
+
+
+def test_long_rows_are_read_once():
+    for text in ("=" * 300_000, "a=" * 150_000, 'a="' * 100_000, "a='x" * 80_000, " :" * 150_000, "a" * 300_000 + ":", ("a" + " " * 50 + ":\n") * 6_000, '"a":' * 80_000, "pwd='" + "".join(map(chr, range(0x4E00, 0x9E00))) * 10 + "'"):
+        began = time.process_time()
+        literals(text)
+        assert time.process_time() - began < 5
+
+
 def test_redaction_and_odd_rows(spark):
     docs = spark.createDataFrame([(1, 'x token = "abcdef1234" y', 24), (1, 'x token = "abcdef1234" y', 24), (None, None, None), (2, "clean", 5)], "doc_id long, text string, n_chars int")
     got = sorted((tuple(r) for r in without_secrets(docs, length_col="n_chars").collect()), key=str)
