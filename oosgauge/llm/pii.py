@@ -44,7 +44,7 @@ CONTEXT = 24
 
 @dataclass(frozen=True)
 class Settings:
-    sample: int = 20_000  # most labelled candidates the trees and thresholds are fitted on
+    sample: int = 20_000  # most labelled candidates the trees are fitted on; thresholds rest on all held-out ones
     trees: int = 8
     depth: int = 3
     precision: float = 0.95  # asked of the held-out candidates from the threshold up
@@ -157,12 +157,21 @@ def candidate_rows(found_rows: DataFrame) -> DataFrame:
     meets = F.exists("base", lambda s: (s["a"] < F.col("z")) & (F.col("a") < s["z"]))
     equal = F.exists("base", lambda s: (F.abs(s["a"] - F.col("a")) <= 1) & (F.abs(s["z"] - F.col("z")) <= 1))
     one = one.withColumns({"meets": meets, "equal": equal}).drop("base")
-    one = one.withColumns(features(F.col("m"), F.col("before"))).withColumn("key", F.xxhash64("generator", "m", "before", "a"))
+    one = one.withColumns(features(F.col("m"), F.col("before"))).withColumn("key", F.xxhash64("generator", "m", "before"))
     told = ~F.col("meets") & (F.col("has_cue") > 0) & ((F.col("n_digits") >= 7) | (F.col("has_at") > 0))
     one = one.withColumn("label", (F.col("equal") | told).cast("double")).drop("equal")
     return one.drop("m", "before")
 
 
+def shares(sizes: dict, most: int) -> dict:
+    """Part of each stratum to take so that ``most`` are taken in all: small strata whole, the others alike."""
+    out, left = {}, most
+    for i, (k, n) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+        quota = min(n, left // (len(sizes) - i))
+        out[k], left = quota / n, left - quota
+    return out
+
+
 class Scorer:
     """Boosted trees over candidates with a threshold per generator."""
 
@@ -175,14 +184,17 @@ class Scorer:
 
     @classmethod
     def fit(cls, rows: DataFrame, s: Settings) -> Scorer:
-        """The sample: the ``s.sample`` candidates with the least keys; a fifth of it sets the thresholds."""
-        sample = stable(rows.orderBy("key", "row", "a", "z").limit(s.sample))
-        labels = {r[0] for r in sample.select("label").distinct().collect()}
-        if labels != {0.0, 1.0}:
-            return cls(None, {})
+        """Trees from a sample of distinct candidates, as even as may be over generators and labels; thresholds from all with a held-out key, a fifth."""
         held = F.pmod(F.xxhash64("key"), F.lit(5)) == 0
-        model = GBTClassifier(maxIter=s.trees, maxDepth=s.depth, seed=s.seed, featuresCol="features", labelCol="label").fit(cls.assembled(sample.filter(~held)))
-        scored = cls.scores(model, sample.filter(held)).groupBy("generator", F.floor(F.col("score") * 50).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("right"))
+        strata = {(r.generator, r.label): r.n for r in rows.filter(~held).groupBy("generator", "label").agg(F.approx_count_distinct("key").alias("n")).collect()}
+        if {label for _, label in strata} != {0.0, 1.0}:
+            return cls(None, {})
+        at = F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(1 << 30))
+        taken = reduce(lambda x, y: x | y, ((F.col("generator") == g) & (F.col("label") == label) & (at < int(share * (1 << 30))) for (g, label), share in shares(strata, s.sample).items()))
+        sample = rows.filter(~held & taken).select("key", "generator", "label", *FORMAT).distinct()
+        sample = stable(sample.orderBy(at, "key", "label").limit(s.sample))
+        model = GBTClassifier(maxIter=s.trees, maxDepth=s.depth, seed=s.seed, featuresCol="features", labelCol="label").fit(cls.assembled(sample))
+        scored = cls.scores(model, rows.filter(held)).groupBy("generator", F.floor(F.col("score") * 50).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("right"))
         by: dict[str, list] = {}
         for r in scored.collect():
             by.setdefault(r.generator, []).append((r.bin, r.n, r.right))

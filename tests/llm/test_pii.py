@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from oosgauge.llm.pii import Settings, find_pii
+from oosgauge.llm.pii import Settings, find_pii, shares
 
 RULES = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -48,5 +48,24 @@ def test_the_trees_add_what_cues_announce(spark):
     assert sum(got[i] for i in range(0, 1200, 2)) <= 10
 
 
+def test_rare_generator_and_repeated_footer_beside_a_small_sample(spark):
+    rng = random.Random(6)
+    some = lambda k: "".join(rng.choices("0123456789", k=k))
+    account = lambda: f"DE{some(2)} ABCD {some(4)} {some(4)} {some(4)}"
+    texts = [f"see {account()} there" if i % 2 else f"iban: {account()} now" for i in range(600)]
+    texts += [f"please tel: 0{some(3)} {some(7)} now" if i % 2 else f"see lot {some(7)} of {some(2)} there" for i in range(3000)]
+    texts += ["printed by 555 0199 888 here"] * 2000
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.spans for r in find_pii(spark.createDataFrame(rows, "doc_id long, text string"), Settings(sample=400)).collect()}
+    assert sum("other:6:" in got[i] for i in range(0, 600, 2)) >= 285
+    assert sum("other:" in got[i] for i in range(601, 3600, 2)) >= 1425
+    assert not any("other:" in got[i] for i in range(3600, 5600))
+
+
+def test_shares_fill_up_from_the_smallest():
+    assert shares({"a": 10, "b": 1000, "c": 500}, 110) == {"a": 1.0, "b": 0.05, "c": 0.1}
+    assert shares({"a": 10, "b": 20}, 100) == {"a": 1.0, "b": 1.0}
+
+
 def test_empty_table(spark):
     assert find_pii(spark.createDataFrame([], "doc_id long, text string")).count() == 0
