@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oosgauge.llm import chat, decontaminate, html_extract, lm_score, mixing, ngram_join, pii, quality_rules, secret_scan, suffix_dedup
+from oosgauge.llm import chat, chat_repair, decontaminate, html_extract, lm_score, mixing, ngram_join, pii, quality_rules, secret_scan, suffix_dedup
 from oosgauge.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -192,6 +193,31 @@ def op10_lm_score(spark, sf_dir):
     return lm_score.lm_scores(table(spark, sf_dir, "documents"))
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """``conversations`` with a twentieth of the rows dropped, emptied, unpunctuated, repeated or given to the user."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(text("conv_id"), F.lit(":"), text("turn")).cast("binary")) % 20
+    rows = rows.select("conv_id", "turn", text("role").alias("role"), text("text").alias("text"), kind.alias("_kind")).filter("_kind <> 0")
+    return rows.select(
+        "conv_id",
+        "turn",
+        F.when(F.col("_kind") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("_kind") == 1, "").when(F.col("_kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text")).alias("text"),
+        F.explode(F.array_repeat(F.lit(0), F.when(F.col("_kind") == 3, 2).otherwise(1))).alias("_again"),
+    ).drop("_again")
+
+
+@query
+def op11_chat_repair(spark, sf_dir):
+    """Damaged conversations, repaired; one row per conversation of the table."""
+    rows = table(spark, sf_dir, "conversations")
+    found = chat_repair.summaries(chat_repair.repair_chats(damaged(rows))).withColumnRenamed("conv_id", "_conv")
+    every = rows.select("conv_id").distinct()
+    whole = every.join(found, F.col("conv_id").eqNullSafe(F.col("_conv")), "left").drop("_conv")
+    zeros = dict.fromkeys(("gaps", "blank", "duplicate", "truncated", "illegal", "cost"), 0)
+    return whole.fillna({**zeros, "audit": "", "repaired_sha256": hashlib.sha256(b"").hexdigest()})
+
+
 @query
 def pipeline(spark, sf_dir):
     from corpus_pipeline import run
