@@ -9,7 +9,7 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oosgauge.llm import chat, chat_repair, decontaminate, html_extract, lm_score, mixing, ngram_join, pii, quality_rules, secret_scan, suffix_dedup
+from oosgauge.llm import chat, chat_repair, decontaminate, hard_negatives, html_extract, lm_score, mixing, ngram_join, pii, quality_rules, secret_scan, suffix_dedup
 from oosgauge.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -218,6 +218,26 @@ def op11_chat_repair(spark, sf_dir):
     return whole.fillna({**zeros, "audit": "", "repaired_sha256": hashlib.sha256(b"").hexdigest()})
 
 
+_SCORED = """
+WITH v AS (SELECT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END) AS label,
+    [floor(256 * x::DOUBLE) FOR x IN embedding] AS m FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND coalesce(list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN embedding]), true)),
+sc AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS id, list_inner_product(a.m, b.m)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+pos AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS place FROM sc WHERE same) WHERE place <= 5),
+neg AS (SELECT p.anchor_id, p.id AS positive_id, p.score AS positive_score, n.id AS negative_id, n.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id)::INTEGER AS rank
+  FROM pos p JOIN sc n ON p.anchor_id = n.anchor_id AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= 5"""
+
+
+@query(sql=_SCORED)
+def op12_hard_negatives(spark, sf_dir):
+    """Negatives near the positives of every hundredth vector; every seventh label is moved on by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 @query
 def pipeline(spark, sf_dir):
     from corpus_pipeline import run
