@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oosgauge.llm import chat, chat_repair, decontaminate, hard_negatives, html_extract, lm_score, mixing, ngram_join, pii, quality_rules, secret_scan, suffix_dedup
-from oosgauge.session import ship
+from oosgauge.llm import chat, chat_repair, decontaminate, hard_negatives, html_extract, lm_score, mixing, ngram_join, pii, quality_rules, secret_scan, suffix_dedup, token_orc
+from oosgauge.session import scratch_root, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -238,6 +239,16 @@ def op12_hard_negatives(spark, sf_dir):
     return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
 
 
+@query
+def op13_token_orc(spark, sf_dir):
+    """Token ids written as ORC files in the shared folder, and each document read back from them."""
+    import public_tokenizers
+
+    path = f"{scratch_root(spark).rstrip('/')}/ids-{uuid.uuid4().hex}"
+    token_orc.write_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_orc.documents(token_orc.read_ids(spark, path))
+
+
 @query
 def pipeline(spark, sf_dir):
     from corpus_pipeline import run
