@@ -150,17 +150,18 @@ def ticket(bucket: np.ndarray, row: np.ndarray, first: np.ndarray) -> np.ndarray
 
 
 NAMES = ("bucket", "body", "row", "first", "last")
-ROWS = "bucket long, body long, row long, first long, last long"
 
 
-def _level(s: Settings, depth: int, tables: list):
+def _level(rows: DataFrame, s: Settings, depth: int, tables: list, known=None, only: tuple = NAMES) -> DataFrame:
     """Rows of a level: blocks (0), cells of contested blocks (1), positions of contested cells (2).
 
-    Of equal blocks or cells one is taken down to the next level.
+    Of equal blocks or cells one is taken down to the next level. ``known``, a table of bits of
+    buckets, drops most rows of others; ``only`` names the columns that are wanted.
     """
 
     def make():
         sieves = [(np.frombuffer(t.value, np.uint8), bits) for t, bits in tables]
+        wanted = known and (np.frombuffer(known[0].value, np.uint8), known[1])
 
         def level(got: Blocks, place):
             if depth == 0:
@@ -188,13 +189,17 @@ def _level(s: Settings, depth: int, tables: list):
                     return rows[i + of], at - start[of]
 
                 bucket, body, first, last = level(got, place)
+                if wanted and len(first):
+                    hit = passing(*wanted, bucket)
+                    bucket, body, first, last = bucket[hit], body[hit], first[hit], last[hit]
                 if len(first):
                     row, at = place(first)
-                    yield pa.RecordBatch.from_arrays([_i64(c) for c in (bucket, body, row, at, at + last - first)], NAMES)
+                    made = dict(zip(NAMES, (bucket, body, row, at, at + last - first)))
+                    yield pa.RecordBatch.from_arrays([_i64(made[c]) for c in only], list(only))
 
         return step
 
-    return make
+    return per_batch(rows, ", ".join(f"{c} long" for c in only), make)
 
 
 def _bodies(found: DataFrame) -> DataFrame:
@@ -211,21 +216,27 @@ def _bodies(found: DataFrame) -> DataFrame:
 
 def repeated_starts(rows: DataFrame, s: Settings = Settings()) -> DataFrame:
     """``row, first, last``: ranges of positions whose ``length`` bytes also start elsewhere, from ``row, text``."""
-    tables, whole = [], None
+    tables, whole, send = [], None, rows.sparkSession.sparkContext.broadcast
     for depth in range(3):
-        found = stable(per_batch(rows, ROWS, _level(s, depth, tables)))
         if depth < 2:
-            # written, so that the join can split a bucket that many documents hold
-            shared = stable(found.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket"))
-            found = stable(found.join(shared, "bucket"))  # all else is over what is shared
+            # buckets are counted before any row is written: most are alone, and the texts are cheap to read again
+            counts = _level(rows, s, depth, tables, only=("bucket",)).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+            shared = stable(counts.filter("n > 1").select("bucket"))  # written, so that the join can split a bucket that many documents hold
+            table, bits = bit_table(shared, "bucket", s.sieve_bits)
+            known = (send(table), bits)
+            found = stable(_level(rows, s, depth, tables, known).join(shared, "bucket"))  # all else is over what is shared
+            known[0].unpersist()
             bodies = stable(_bodies(found))
         else:
-            bodies = found.groupBy("bucket", "body").agg(F.count(F.lit(1)).alias("n"))
+            found = stable(_level(rows, s, depth, tables))
+            bodies = stable(found.groupBy("bucket", "body").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
         twice = found.join(bodies.filter("n > 1").select("bucket", "body"), ["bucket", "body"]).select("row", "first", "last")
         whole = twice if whole is None else whole.unionByName(twice)
         if depth < 2:
             table, bits = bit_table(bodies.filter("contested"), "ticket", s.sieve_bits)
-            tables = [*tables, (rows.sparkSession.sparkContext.broadcast(table), bits)]
+            tables = [*tables, (send(table), bits)]
+    for t, _ in tables:
+        t.unpersist()  # the last level is written
     return whole
 
 
