@@ -217,7 +217,9 @@ def _document_frequency(rows: DataFrame, p: Passages, s: Settings) -> dict[int,
             yield pa.RecordBatch.from_arrays([pa.array(self.known[at].view(np.int64)), pa.array(self.n[at])], ["gram", "n"])
 
     counted = per_batch(rows, "gram long, n long", Count).groupBy("gram").agg(F.sum("n").alias("n"))
-    return {r[0]: r[1] for r in counted.collect()}
+    out = {r[0]: r[1] for r in counted.collect()}
+    shared.unpersist()
+    return out
 
 
 def _search(rows: DataFrame, p: Passages, s: Settings, clean_of: DataFrame | None = None) -> DataFrame:

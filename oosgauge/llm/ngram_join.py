@@ -34,8 +34,12 @@ FLUSH = 1_000_000
 #: postings of one n-gram in a flush from which on they go around the merge
 HOT = 64
 POSTING = np.dtype([("gram", "<u8"), ("set", "<i8"), ("n", "<i4"), ("at", "<i4")])
-#: bytes of each field that are sent; of an n-gram's name the upper six
+#: bytes of each field of a posting that are sent; the upper six of an n-gram's name group sets, they do not compare them
 SENT = {"gram": (2, 8), "set": (0, 8), "n": (0, 4), "at": (0, 4)}
+#: bytes of an n-gram's name in a set, which is compared: all
+WHOLE = (0, 8)
+#: digests of sets that a task remembers, to send copies once
+REMEMBERED = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -158,7 +162,7 @@ def postings(docs: DataFrame, s: Settings, shared, segments: int) -> DataFrame:
                 self.size += k
                 if self.size > FLUSH:
                     yield from self.close()
-            if len(self.done) > 1_000_000:
+            if len(self.done) > REMEMBERED:
                 self.done.clear()
 
         def close(self):
@@ -311,7 +315,7 @@ def _blocks(rows: DataFrame, shared, s: Settings) -> DataFrame:
                     if self.now != (lead, block):
                         yield from self.close()
                         self.now = (lead, block)
-                    self.held.append((me, from_planes(grams, *SENT["gram"], "<u8"), label, probe))
+                    self.held.append((me, from_planes(grams, *WHOLE, "<u8"), label, probe))
 
             def close(self):
                 if len(self.held) > 1:
@@ -328,13 +332,15 @@ def _blocks(rows: DataFrame, shared, s: Settings) -> DataFrame:
     return per_batch(dealt, "src long, dst long", make)
 
 
-def with_sets(docs: DataFrame, places: DataFrame, s: Settings) -> DataFrame:
+def with_sets(docs: DataFrame, places: DataFrame, s: Settings, sent: list) -> DataFrame:
     """``places`` (rows with ``set``) with the packed n-grams of their sets, read from the texts again.
 
-    A bit table keeps most other texts' sets from being sent; the join does the rest.
+    A bit table keeps most other texts' sets from being sent; the join does the rest. ``sent``
+    gets what the caller is to release once the rows are written.
     """
     table, bits = bit_table(places.select("set").distinct(), "set", s.sieve_bits)
     send = docs.sparkSession.sparkContext.broadcast(table)
+    sent.append(send)
 
     def make():
         names, done, sieve = WordNames(), set(), np.frombuffer(send.value, np.uint8)
@@ -345,8 +351,8 @@ def with_sets(docs: DataFrame, places: DataFrame, s: Settings) -> DataFrame:
                 if len(grams) and passing(sieve, bits, np.array([me := set_id(grams)]).view(U64))[0] and me not in done:
                     done.add(me)
                     ids.append(me)
-                    out.append(planes(grams, *SENT["gram"]))
-            if len(done) > 1_000_000:
+                    out.append(planes(grams, *WHOLE))
+            if len(done) > REMEMBERED:
                 done.clear()
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["set", "grams"])
 
@@ -359,10 +365,20 @@ def with_sets(docs: DataFrame, places: DataFrame, s: Settings) -> DataFrame:
 
 
 def components(docs: DataFrame, s: Settings, read: DataFrame) -> DataFrame:
-    """``set, component`` of sets that are linked with another."""
+    """``set, component`` of sets that are linked with another, as a written table."""
+    sent: list = []
+    try:
+        return _components(docs, s, read, sent)
+    finally:
+        for x in sent:  # links and components are written
+            x.unpersist()
+
+
+def _components(docs: DataFrame, s: Settings, read: DataFrame, sent: list) -> DataFrame:
     spark = docs.sparkSession
     order = bucket_order(read)
     shared = spark.sparkContext.broadcast(order)
+    sent.append(shared)
     segments, size = 64, read.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     while segments * s.per_segment < size // 4:
         segments *= 2
@@ -374,7 +390,7 @@ def components(docs: DataFrame, s: Settings, read: DataFrame) -> DataFrame:
     sized = groups.join(blocks, "lead").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")))
     own = blocks.filter("blocks > 1").select("lead", F.col("lead").alias("set"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
     once = sized.select("lead", "set", "block").unionByName(own).distinct()
-    work = with_sets(docs, once.select("lead", "block", "set", F.col("set").alias("label"), F.lit(True).alias("probe")), s)
+    work = with_sets(docs, once.select("lead", "block", "set", F.col("set").alias("label"), F.lit(True).alias("probe")), s, sent)
     links = stable(_blocks(work, shared, s))
 
     def joined(links):
@@ -396,7 +412,7 @@ def components(docs: DataFrame, s: Settings, read: DataFrame) -> DataFrame:
     left = other.withColumn("_n", F.col("blocks")).drop("block").withColumn("block", every).select("lead", "set", "label", pair.alias("block"), F.lit(True).alias("probe"))
     right = wide.join(probes, "lead").withColumn("_n", F.col("parts")).withColumn("part", every).select("lead", "set", "label", pair.alias("block"), F.lit(False).alias("probe"))
     cross = left.unionByName(right).groupBy("lead", "block", "set", "label").agg(F.max("probe").alias("probe"))
-    more = stable(_blocks(with_sets(docs, stable(cross), s), shared, s))
+    more = stable(_blocks(with_sets(docs, stable(cross), s, sent), shared, s))
     return found if more.isEmpty() else joined(links.unionByName(more))
 
 

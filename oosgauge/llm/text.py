@@ -128,6 +128,7 @@ def per_batch(df: DataFrame, schema: str | StructType, make: Callable[[], Callab
             del b  # before the next one is read
         if hasattr(step, "close"):
             yield from step.close()
+        pa.default_memory_pool().release_unused()  # workers live on between tasks
 
     small_batches(df)
     return df.mapInArrow(run, schema)
