@@ -10,22 +10,25 @@ is the task that wrote it, ``doc`` the document's number in that part and ``star
 before the piece in it. ``parts`` holds how many ids come before each part, so no second pass
 over the texts is needed to give every document its place.
 
-Tasks keep the ids of words they have met. A text is cut only where every word pattern of a
+Tasks keep the ids of words they have met. A text is cut only where the word pattern of a
 byte-level tokenizer has to cut it: before a blank and around a line feed, each between two
-characters that are not white space. The library encodes every piece that is not known, so the
-ids are those of the whole text.
+characters that are not white space, and between letters and marks. The library encodes every
+piece that is not known, a word of letters by its merge model alone, so the ids are those of
+the whole text.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -38,11 +41,15 @@ PIECE = 4096
 #: characters that the library gets at once of a text that cannot be cut into words
 RUN = 1 << 16
 #: words kept in each of two generations, and the longest kept
-WORDS, LONGEST = 300_000, 40
+WORDS, LONGEST = 500_000, 40
+#: characters of texts taken at once
+BATCH_CHARS = 4_000_000
 #: bytes of a tokenizer file that may be sent to every task
 MOST_SENT = 64 << 20
 
 _SAFE = re.compile(r"[!-~\w](?:.*[!-~\w])?", re.S)
+#: letters in every version of Unicode, then marks
+_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@[-`{-~]*)")
 _CUT = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
 
 
@@ -58,39 +65,22 @@ class Format:
     compression: str = "zstd"
 
 
-class _Irregular(Exception):
-    """A word begins or ends with white space, or is empty."""
-
-
-class _Words(dict):
-    """Ids of words after ``lead``, as bytes. Two generations: what was not met in one is forgotten after the next."""
-
-    def __init__(self, encode, lead: str):
-        self.encode, self.lead, self.old = encode, lead, {}
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.old.get(word)
-        if ids is None:
-            if not _SAFE.fullmatch(word):
-                raise _Irregular
-            ids = self.encode(self.lead + word)
-        if len(word) <= LONGEST:
-            if len(self) >= WORDS:
-                self.old = dict(self)
-                self.clear()
-            self[word] = ids
-        return ids
+def _byte_letters() -> dict[int, str]:
+    """The letter of each byte that is no letter or mark of its own, in order of bytes."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in own)}
 
 
 def _byte_level(model: dict) -> bool:
     """Whether words are split by the byte-level pattern alone, so that the cuts of ``Encoder`` are safe."""
     words = model.get("pre_tokenizer") or {}
-    plain = words.get("type") == "ByteLevel" and words.get("use_regex", True) and not words.get("add_prefix_space", True)
+    kind = (model.get("model") or {}).get("type") == "BPE" and not model["model"].get("dropout")
+    plain = kind and words.get("type") == "ByteLevel" and words.get("use_regex", True) and not words.get("add_prefix_space", True)
     return plain and model.get("normalizer") is None and all(t.get("special") for t in model.get("added_tokens") or ())
 
 
 class Encoder:
-    """Little-endian 32-bit ids of whole texts, in parts."""
+    """Ids of whole texts, many at once."""
 
     def __init__(self, tokenizer: str):
         from tokenizers import Tokenizer
@@ -98,33 +88,89 @@ class Encoder:
         lib = Tokenizer.from_str(tokenizer)
         lib.encode_special_tokens = True  # their strings in a text are ordinary text
         self.encode = lambda s: np.array(lib.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
-        if not _byte_level(json.loads(tokenizer)):
-            self.parts = lambda text: iter((self.encode(text),))  # no safe cuts are known: the whole text at once
-            return
-        self.first, self.next, self.newline = _Words(self.encode, ""), _Words(self.encode, " "), self.encode("\n")
-
-    def parts(self, text: str) -> Iterator[bytes]:
-        """Ids of a text; parts follow one another."""
-        if not text:
+        self.cuts, self.model, self.letters = _byte_level(json.loads(tokenizer)), lib.model, _byte_letters()
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.newline = self.encode("\n")
+
+    def __call__(self, texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
+        """Number of the text and ids, in order; a long text in several runs, an empty one in none."""
+        if not self.cuts:  # the whole text at once
+            yield from ((i, np.frombuffer(self.encode(t), "<u4")) for i, t in enumerate(texts) if t)
             return
-        try:
-            out = []
-            for i, line in enumerate(text.split("\n")):
-                head, *words = line.split(" ")
-                if i:
-                    out.append(self.newline)
-                out.append(self.first[head])
-                out += map(self.next.__getitem__, words)
-            yield b"".join(out)
-        except _Irregular:
-            yield from self._runs(text)
-
-    def _runs(self, text: str) -> Iterator[bytes]:
+        runs, size = [], 0
+        for i, text in enumerate(texts):
+            at = 0
+            while at < len(text):
+                cut = _CUT.search(text, at + BATCH_CHARS) if len(text) - at > BATCH_CHARS else None
+                to = cut.start() if cut else len(text)
+                runs.append((i, at == 0, text[at:to]))
+                size, at = size + to - at, to + 1 if cut else to
+                if size >= BATCH_CHARS:
+                    yield from self._batch(runs)
+                    runs, size = [], 0
+        if runs:
+            yield from self._batch(runs)
+
+    def _batch(self, runs: list[tuple[int, bool, str]]) -> Iterator[tuple[int, np.ndarray]]:
+        """A word that begins a text or a line has a line feed before it; that of a text's first word is taken off again."""
+        made = pa.array([("\n" if first else "") + text.replace("\n", " \n") for _, first, text in runs])
+        split = pc.split_pattern(made, " ")
+        words = split.flatten().dictionary_encode()
+        found = self._words(words.dictionary.to_pylist())
+        which = words.indices.to_numpy()
+        lengths = np.array([-1 if x is None else len(x) // 4 for x in found], np.int32)
+        flat = np.frombuffer(b"".join(x for x in found if x is not None), "<u4")
+        begins = (np.cumsum(np.maximum(lengths, 0)) - np.maximum(lengths, 0)).astype(np.int32)
+        ends = split.offsets.to_numpy() - split.offsets[0].as_py()
+        n = lengths[which]
+        odd = np.concatenate([[0], np.cumsum(n < 0)])[ends]
+        n = np.maximum(n, 0)
+        upto = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])  # under BATCH_CHARS or one run
+        at = np.repeat(begins[which] - upto[:-1], n)
+        at += np.arange(upto[-1])
+        ids = flat[at]
+        for k, (i, first, text) in enumerate(runs):
+            if odd[k + 1] == odd[k]:
+                yield i, ids[upto[ends[k]] + (len(self.newline) // 4 if first else 0) : upto[ends[k + 1]]]
+            else:
+                yield from ((i, x) for x in self._runs(text if first else " " + text))
+
+    def _words(self, words: list[str]) -> list[bytes | None]:
+        out = list(map(self.young.get, words))
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            w = words[i]
+            out[i] = ids = self.old.get(w) or self._word(w)
+            if ids is not None and len(w) <= LONGEST:
+                if len(self.young) >= WORDS:
+                    self.young, self.old = {}, self.young
+                self.young[w] = ids
+        return out
+
+    def _word(self, word: str) -> bytes | None:
+        """Ids of a word with the blank or the line feed before it; None if it begins or ends with white space."""
+        lead, before = ("", self.newline) if word.startswith("\n") else (" ", b"")
+        word = word[len(before) and 1 :]
+        if plain := _WORD.fullmatch(word):
+            letters, marks = plain.groups()
+            return before + self._merged(lead + letters) + (self._words([f"\n{marks}"])[0][len(self.newline) :] if marks else b"")
+        return before + self.encode(lead + word) if _SAFE.fullmatch(word) else None
+
+    def _merged(self, word: str) -> bytes:
+        """Ids of letters, after a blank or not, from the merge model alone."""
+        if word.isascii():
+            word = word.replace(" ", self.letters[32])
+        else:
+            word = word.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(word)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _runs(self, text: str) -> Iterator[np.ndarray]:
         at = 0
         while at < len(text):
             cut = _CUT.search(text, at + RUN)
             to = cut.start() if cut else len(text)
-            yield self.encode(text[at:to])
+            yield np.frombuffer(self.encode(text[at:to]), "<u4")
             at = to
 
 
@@ -146,43 +192,45 @@ BATCH = 1 << 19
 
 
 def _written(shared, end_id: int):
-    end = np.array([end_id], "<u4").tobytes()
-
-    def pieces(encoder: Encoder, text: str | None) -> Iterator[bytes]:
-        left = b""
-        for part in encoder.parts(text or ""):
-            left += part
-            at = 0
-            while len(left) - at > 4 * PIECE:
-                yield left[at : at + 4 * PIECE]
-                at += 4 * PIECE
-            left = left[at:]
-        yield left + end  # at most one id over
-
     def run(batches) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         encoder, part, doc, at = _encoder(shared.value), TaskContext.get().partitionId(), 0, 0
         rows, held = [], 0
 
+        def piece(doc_id, ids):
+            nonlocal at, held
+            rows.append((ids, doc_id, doc, at))
+            at, held = at + len(ids), held + len(ids)
+
         def batch():
+            nonlocal held
             ids, docs, numbers, starts = zip(*rows)
-            counts = np.array([len(x) // 4 for x in ids], np.int32)
+            counts = np.array([len(x) for x in ids], np.int32)
             offsets = np.concatenate([[0], np.cumsum(counts, dtype=np.int32)]).astype(np.int32)
-            flat = np.frombuffer(b"".join(ids), "<i4")
             cols = [pa.array(docs, pa.int64()), pa.array(np.full(len(ids), part, np.int32)), pa.array(numbers, pa.int64()), pa.array(starts, pa.int64()), pa.array(counts)]
-            return pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "part", "doc", "start", "n", "ids"])
+            flat = pa.array(np.concatenate(ids).astype(np.int32))
+            rows.clear()
+            held = 0
+            return pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(offsets), flat)], ["doc_id", "part", "doc", "start", "n", "ids"])
 
         for b in batches:
-            texts = b.column("text")
-            for i, doc_id in enumerate(b.column("doc_id").to_pylist()):
-                for ids in pieces(encoder, texts[i].as_py()):
-                    rows.append((ids, doc_id, doc, at))
-                    at, held = at + len(ids) // 4, held + len(ids) // 4
-                    if held >= BATCH:
-                        yield batch()
-                        rows, held = [], 0
-                doc += 1
+            names, texts = b.column("doc_id").to_pylist(), [x or "" for x in b.column("text").to_pylist()]
+            encoded, left = encoder(texts), np.zeros(0, np.uint32)
+            ahead = next(encoded, None)
+            for i, doc_id in enumerate(names):
+                while ahead is not None and ahead[0] == i:
+                    left = np.concatenate([left, ahead[1]]) if len(left) else ahead[1]
+                    whole = max(0, (len(left) - 1) // PIECE) * PIECE
+                    for k in range(0, whole, PIECE):
+                        piece(doc_id, left[k : k + PIECE])
+                        if held >= BATCH:
+                            yield batch()
+                    left, ahead = left[whole:], next(encoded, None)
+                piece(doc_id, np.append(left, np.uint32(end_id)))
+                doc, left = doc + 1, left[:0]
+                if held >= BATCH:
+                    yield batch()
         if rows:
             yield batch()
 

@@ -30,28 +30,32 @@ def want(rows, end=0):
     return out
 
 
-def test_encoder_equals_library():
+def encoded(encoder, texts):
+    out = [[] for _ in texts]
+    for i, ids in encoder(texts):
+        out[i] += ids.tolist()
+    return out
+
+
+def test_encoder_equals_library(monkeypatch):
     rng, encode, mine = random.Random(1), library(), Encoder(open(MODEL, encoding="utf-8").read())
-    bits = [" ", " ", "\n", "a", "word", "don't", "é", " ", "\t", "  ", "　", "12", "...", "😀", "日本", "<|endoftext|>", "\r\n", "'s", "​", "_", "\x1c", "\x85"]
-    for _ in range(4000):
-        text = "".join(rng.choices(bits, k=rng.randrange(12)))
-        assert np.frombuffer(b"".join(mine.parts(text)), "<u4").tolist() == encode(text), repr(text)
-    token_orc.RUN, kept = 40, token_orc.RUN
-    try:
-        for _ in range(300):
-            text = "".join(rng.choices([*bits, " and", " more", " words"], k=80))
-            assert np.frombuffer(b"".join(mine.parts(text)), "<u4").tolist() == encode(text), repr(text)
-    finally:
-        token_orc.RUN = kept
+    bits = [" ", " ", "\n", "a", "word", "don't", "é", " ", "\t", "  ", "　", "12", "...", "😀", "日本", "<|endoftext|>", "\r\n", "'s", "​", "_", "\x1c", "\x85", "Straße", "œuvre,", "end!?", "ǆ", "×", "don", ".x"]
+    texts = ["".join(rng.choices(bits, k=rng.randrange(12))) for _ in range(6000)]
+    assert encoded(mine, texts) == [encode(t) for t in texts]
+    monkeypatch.setattr(token_orc, "RUN", 40)
+    monkeypatch.setattr(token_orc, "BATCH_CHARS", 100)
+    for more in ([" and", " more", " words"] * 3, ["and more", " words", "."]):
+        texts = ["".join(rng.choices([*bits, *more] if len(more) > 3 else more, k=80)) for _ in range(300)]
+        assert encoded(mine, texts) == [encode(t) for t in texts]
 
 
 def test_words_are_bounded(monkeypatch):
     monkeypatch.setattr(token_orc, "WORDS", 10)
     mine, encode = Encoder(open(MODEL, encoding="utf-8").read()), library()
     for i in range(60):
-        text = f"word{i} again w{i % 7}"
-        assert np.frombuffer(b"".join(mine.parts(text)), "<u4").tolist() == encode(text)
-        assert len(mine.next) <= 10 and len(mine.next.old) <= 10
+        text = f"word{i} again w{i % 7}, wo"
+        assert encoded(mine, [text]) == [encode(text)]
+        assert len(mine.young) <= 10 and len(mine.old) <= 10
 
 
 def test_crc_join():
