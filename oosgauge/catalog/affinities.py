@@ -172,3 +172,10 @@ def row_entropy(spark, d):
 def submatrix(spark, d):
     _, o = split_embeddings(spark, d)
     return _p(A.submatrix(joint(spark, d), o))
+
+
+@query("calibrate_rows")
+def calibrate_rows(spark, d):
+    """Precision of each row over its distances to all rows, at perplexity 30, and the entropy reached."""
+    got = A.calibrate_rows(embeddings(spark, d), 30.0)
+    return got.select("id", r6("param").alias("param"), r6("entropy").alias("entropy"))

@@ -1,7 +1,6 @@
 """Feed-forward networks: data-parallel training and scoring of frozen weights.
 
-Every step is one Spark job: tasks back-propagate their rows, gradients are
-summed in slices of the parameter vector, and the driver takes an Adam step.
+Fitting runs in barrier stages (``training``); scoring is a map over rows.
 """
 
 from __future__ import annotations
@@ -12,10 +11,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oosgauge.functions.draws import unit
-from oosgauge.operators.linear import map_vectors, sum_rows
+from oosgauge.operators import training as T
+from oosgauge.operators.linear import map_vectors
 from oosgauge.operators.prep import minmax_scale, standard_scale
-from oosgauge.session import stable
 
 #: name -> (function, derivative from the output)
 ACTIVATIONS = {
@@ -81,12 +79,9 @@ def gradients(layers: list[Layer], x: np.ndarray, y: np.ndarray) -> tuple[list[t
     return grads, float((err * err).sum())
 
 
-SLICE = 4096
-
-
 @dataclass
 class Trainer:
-    """Mean-squared-error training with Adam, one job per step."""
+    """Mean-squared-error training with Adam in barrier stages."""
 
     layers: list[Layer]
     lr: float = 1e-3
@@ -96,77 +91,15 @@ class Trainer:
         self, pairs: DataFrame, epochs: int, batches: int = 1, validation: float = 0.0, patience: int = 10,
         min_delta: float = 1e-5, seed: int = 13,
     ) -> Trainer:
-        """``pairs``: ``id, x, y``. ``batches`` steps per epoch, rows dealt by id hash.
+        """``pairs``: ``id, x, y``. ``batches`` steps per epoch, rows dealt anew each epoch.
 
         With a ``validation`` share, training stops after ``patience`` epochs
         without gain and the best weights are restored.
         """
-        width = self.layers[0].weight.shape[0]
-        u = unit("id", seed)
-        data = stable(
-            pairs.select(
-                F.concat("x", "y").alias("z"),
-                F.when(u < validation, -1).otherwise(F.floor(unit("id", seed + 1) * batches)).cast("int").alias("b"),
-            ),
-            by="b",
-        )
-        sizes = {r["b"]: r["count"] for r in data.groupBy("b").count().collect()}
-        flat = np.concatenate([np.concatenate([l.weight.ravel(), l.bias]) for l in self.layers])
-        m, v, t = np.zeros_like(flat), np.zeros_like(flat), 0
-        best, best_loss, waited = flat.copy(), np.inf, 0
-        for _ in range(epochs):
-            epoch = 0.0
-            for b in range(batches):
-                if not sizes.get(b):
-                    continue
-                part = data if batches == 1 and -1 not in sizes else data.filter(F.col("b") == b)
-                g, loss = self._step(part, width)
-                n_out = sizes[b] * self.layers[-1].bias.size
-                epoch += loss / n_out * sizes[b]
-                g, t = g / n_out, t + 1
-                m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-                flat = flat - self.lr * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-                self._load(flat)
-            self.losses.append(epoch / sum(c for b, c in sizes.items() if b >= 0))
-            if -1 in sizes:
-                held = self._loss(data.filter("b = -1"), width) / (sizes[-1] * self.layers[-1].bias.size)
-                if held < best_loss - min_delta:
-                    best, best_loss, waited = flat.copy(), held, 0
-                else:
-                    waited += 1
-                    if waited >= patience:
-                        break
-        if -1 in sizes:
-            self._load(best)
+        plan = T.Plan(epochs, self.lr, batches, validation=validation, patience=patience, min_delta=min_delta, seed=seed)
+        self.losses += T.train(pairs.select("id", F.concat("x", "y").alias("z")), self.layers, T.SquaredError(), plan)
         return self
 
-    def _load(self, flat: np.ndarray) -> None:
-        at = 0
-        for layer in self.layers:
-            n = layer.weight.size
-            layer.weight = flat[at : at + n].reshape(layer.weight.shape)
-            layer.bias = flat[at + n : at + n + layer.bias.size]
-            at += n + layer.bias.size
-
-    def _step(self, data: DataFrame, width: int) -> tuple[np.ndarray, float]:
-        shared = data.sparkSession.sparkContext.broadcast(self.layers)
-        total = sum(l.weight.size + l.bias.size for l in self.layers) + 1
-        rows = -(-total // SLICE)
-
-        def back(z: np.ndarray) -> np.ndarray:
-            grads, loss = gradients(shared.value, z[:, :width], z[:, width:])
-            flat = np.concatenate([np.concatenate([w.ravel(), b]) for w, b in grads] + [[loss]])
-            return np.pad(flat, (0, rows * SLICE - total)).reshape(rows, SLICE)
-
-        out = sum_rows(data, back, "z", rows).ravel()[:total]
-        shared.unpersist()
-        return out[:-1], float(out[-1])
-
-    def _loss(self, data: DataFrame, width: int) -> float:
-        layers = self.layers
-        fn = lambda z: np.array([[((run_layers(layers, z[:, :width])[-1] - z[:, width:]) ** 2).sum()]])
-        return float(sum_rows(data, fn, "z", 1)[0, 0])
-
 
 # --- methods ----------------------------------------------------------------
 
@@ -230,3 +163,86 @@ class AutoEncoder:
 
     def transform_oos(self, o: DataFrame) -> DataFrame:
         return self._code(o)
+
+
+@dataclass
+class ParametricTSNE:
+    """Network whose outputs keep the neighbourhoods of each batch: KL between Gaussian and Student kernels.
+
+    Precisions come from each row's distances to all rows, at the perplexity. Batches are a tenth
+    of the rows, at most ``most_rows``, whose square a task holds.
+    """
+
+    perplexity: float = 30.0
+    epochs: int = 1000
+    lr: float = 1e-3
+    hidden: tuple[int, ...] = (500, 500, 2000)
+    alpha: float = 1.0
+    most_rows: int = 2048
+    seed: int = 42
+
+    def fit(self, e: DataFrame) -> ParametricTSNE:
+        from oosgauge.operators.affinity import calibrate_rows
+
+        self.e = e
+        (scaled,) = standard_scale(e)
+        scaled = scaled.select("id", "features")
+        beta = calibrate_rows(scaled, self.perplexity, "beta").select("id", "param")
+        rows = scaled.join(beta, "id").select("id", F.concat("features", F.array("param")).alias("z"))
+        n, width = scaled.agg(F.count(F.lit(1)), F.max(F.size("features"))).first()
+        self.layers = _glorot([width, *self.hidden, 2], ["sigmoid"] * len(self.hidden) + ["linear"], self.seed)
+        plan = T.Plan(self.epochs, self.lr, batch_rows=_tenth(n, self.most_rows), seed=self.seed)
+        self.losses = T.train(rows, self.layers, T.BatchKL(self.alpha), plan)
+        return self
+
+    def transform(self) -> DataFrame:
+        return self.transform_oos(self.e)
+
+    def transform_oos(self, o: DataFrame) -> DataFrame:
+        (x,) = standard_scale(self.e, o)
+        return mlp_score(x, self.layers)
+
+
+@dataclass
+class NeighbourTSNE:
+    """Network trained on the joint neighbour probabilities of all rows; outputs are scaled to 0..1 by their own extremes."""
+
+    perplexity: float = 30.0
+    epochs: int = 1000
+    lr: float = 1e-3
+    hidden: tuple[int, ...] = (1024, 512, 256, 128)
+    most_rows: int = 2048
+    seed: int = 42
+
+    def fit(self, e: DataFrame) -> NeighbourTSNE:
+        from oosgauge.operators.affinity import calibrate, conditional_p, joint_p
+        from oosgauge.operators.knn import knn
+
+        self.e = e
+        n, width = e.agg(F.count(F.lit(1)), F.max(F.size("features"))).first()
+        near = knn(e, max(1, min(n - 1, int(3 * self.perplexity))))
+        p = joint_p(conditional_p(calibrate(near, min(self.perplexity, max(1.0, (n - 1) / 3)), "beta")), n)
+        links = p.groupBy(F.col("i").alias("id")).agg(F.collect_list(F.struct("j", "p")).alias("near"))
+        rows = e.select("id", F.col("features").alias("z")).join(links, "id", "left")
+        self.layers = init_layers([width, *self.hidden, 2], ["lrelu"] * len(self.hidden) + ["linear"], "fan", self.seed)
+        plan = T.Plan(self.epochs, self.lr, batch_rows=_tenth(n, self.most_rows), seed=self.seed, clip=4.0, lowest_lr=1e-7)
+        self.losses = T.train(rows, self.layers, T.SparseKL(), plan)
+        return self
+
+    def transform(self) -> DataFrame:
+        return self.transform_oos(self.e)
+
+    def transform_oos(self, o: DataFrame) -> DataFrame:
+        out = mlp_score(o, self.layers)
+        ends = out.agg(F.min(F.array_min("proj")).alias("low"), F.max(F.array_max("proj")).alias("high")).first()
+        low, span = ends["low"] or 0.0, (ends["high"] or 0.0) - (ends["low"] or 0.0)
+        return out.withColumn("proj", F.transform("proj", lambda x: (x - low) / (span or 1.0)))
+
+
+def _tenth(n: int, most: int, small: int = 256) -> int:
+    return max(1, min(most, n // 10 if n > small else n))
+
+
+def _glorot(sizes: list[int], activations: list[str], seed: int) -> list[Layer]:
+    rng = np.random.default_rng(seed)
+    return [Layer(rng.uniform(-1, 1, (i, o)) * np.sqrt(6.0 / (i + o)), np.zeros(o), a) for i, o, a in zip(sizes, sizes[1:], activations)]
