@@ -41,7 +41,7 @@ PIECE = 4096
 #: characters that the library gets at once of a text that cannot be cut into words
 RUN = 1 << 16
 #: words kept in each of two generations, and the longest kept
-WORDS, LONGEST = 500_000, 40
+WORDS, LONGEST = 700_000, 40
 #: characters of texts taken at once
 BATCH_CHARS = 4_000_000
 #: bytes of a tokenizer file that may be sent to every task
@@ -50,6 +50,7 @@ MOST_SENT = 64 << 20
 _SAFE = re.compile(r"[!-~\w](?:.*[!-~\w])?", re.S)
 #: letters in every version of Unicode, then marks
 _WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@[-`{-~]*)")
+_MARKS = tuple(".,;:!?")
 _CUT = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
 
 
@@ -127,8 +128,9 @@ class Encoder:
         odd = np.concatenate([[0], np.cumsum(n < 0)])[ends]
         n = np.maximum(n, 0)
         upto = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])  # under BATCH_CHARS or one run
-        at = np.repeat(begins[which] - upto[:-1], n)
-        at += np.arange(upto[-1])
+        kind = np.int32 if upto[-1] + len(flat) < 1 << 31 else np.int64
+        at = np.repeat((begins[which] - upto[:-1]).astype(kind), n)
+        at += np.arange(upto[-1], dtype=kind)
         ids = flat[at]
         for k, (i, first, text) in enumerate(runs):
             if odd[k + 1] == odd[k]:
@@ -149,6 +151,11 @@ class Encoder:
 
     def _word(self, word: str) -> bytes | None:
         """Ids of a word with the blank or the line feed before it; None if it begins or ends with white space."""
+        if word.isascii():  # the most frequent forms first
+            if word.isalpha():
+                return self._model_ids(self.letters[32] + word)
+            if word[-1:] in _MARKS and word[:-1].isalpha():
+                return (self.young.get(word[:-1]) or self._words([word[:-1]])[0]) + self._words(["\n" + word[-1]])[0][len(self.newline) :]
         lead, before = ("", self.newline) if word.startswith("\n") else (" ", b"")
         word = word[len(before) and 1 :]
         if plain := _WORD.fullmatch(word):
@@ -162,6 +169,9 @@ class Encoder:
             word = word.replace(" ", self.letters[32])
         else:
             word = word.encode().decode("latin-1").translate(self.letters)
+        return self._model_ids(word)
+
+    def _model_ids(self, word: str) -> bytes:
         ids = [t.id for t in self.model.tokenize(word)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
