@@ -60,6 +60,81 @@ def test_long_literals_names_and_columns():
     assert literals("x" * 300 + f"_pwd = {jwt}") == [jwt]
 
 
+CASES = [
+    ('auth_key: "aB3\\"dE5fG7hJ9kL1m"', ['aB3\\"dE5fG7hJ9kL1m']),
+    ('auth_key = """\n  aB3dE5fG7\n  hJ9kL1m\n"""', ["aB3dE5fG7\n  hJ9kL1m"]),
+    ('credential = "aB3xx" + "dE5fG7h9"', ["aB3xx", "dE5fG7h9"]),
+    ('auth_key = ("aB3dE5f"\n   "G7hJ9kL1m")', ["aB3dE5f", "G7hJ9kL1m"]),
+    ('K="aB3dE5fG7hJ9kL1m"; auth_key = K; K = "zz"', ["aB3dE5fG7hJ9kL1m"]),
+    ('K="zz"; auth_key = K; K = "aB3dE5fG7hJ9kL1m"', []),
+    ('K = "aB3dE5fG7"\nK += "hJ9kL1m"\nauth_key = K', ["aB3dE5fG7", "hJ9kL1m"]),
+    ('K = "aB3dE5fG7hJ9"\nK = f(1)\nauth_key = K', []),
+    ('auth_key = K\nK = "aB3dE5fG7hJ9"', ["aB3dE5fG7hJ9"]),
+    ('cfg.K = "aB3dE5fG7hJ9kL1m"\nauth_key = cfg.K', ["aB3dE5fG7hJ9kL1m"]),
+    ('cfg = {"K": "aB3dE5fG7hJ9kL1m"}\nauth_key = cfg.K', ["aB3dE5fG7hJ9kL1m"]),
+    ("K=aB3dE5fG7hJ9kL\nauth_key=${K}\n", ["aB3dE5fG7hJ9kL"]),
+    ("<authKey>aB3dE5fG7hJ9kL1m</authKey>", ["aB3dE5fG7hJ9kL1m"]),
+    ('<add key="AuthKey" value="aB3dE5fG7hJ9kL1m"/>', ["aB3dE5fG7hJ9kL1m"]),
+    ('<entry name="authKey"> aB3dE5fG7hJ9kL1m </entry>', ["aB3dE5fG7hJ9kL1m"]),
+    ("credentials:\n  user: bob\n  value: aB3dE5fG7hJ9kL1m\nvalue: qB3dE5fG7hJ9kL1m", ["aB3dE5fG7hJ9kL1m"]),
+    ("[credentials]\nvalue = aB3dE5fG7hJ9kL1m\n", ["aB3dE5fG7hJ9kL1m"]),
+    ("private_key: |\n  aB3dE5fG7hJ9kL1m\n  QQ3dE5fG7hJ9kL1m\nnext: 1", ["aB3dE5fG7hJ9kL1m\n  QQ3dE5fG7hJ9kL1m"]),
+    ('auth_key = os.getenv("AUTH_KEY_9")', []),
+    ('var authKey string = "aB3dE5fG7hJ9kL1m"', ["aB3dE5fG7hJ9kL1m"]),
+    ('auth_key: str = "aB3dE5fG7hJ9kL1m"', ["aB3dE5fG7hJ9kL1m"]),
+    ('config["auth_key"] = "aB3dE5fG7hJ9kL1m"', ["aB3dE5fG7hJ9kL1m"]),
+    ('# auth_key = "aB3dE5fG7hJ9kL1m"', ["aB3dE5fG7hJ9kL1m"]),
+    ('K = "aB3dE5fG7hJ9kL1m"\n# K = "zz"\nauth_key = K', ["aB3dE5fG7hJ9kL1m"]),  # a comment binds nothing
+    ('if auth_key == "aB3dE5fG7hJ9": x', ["aB3dE5fG7hJ9"]),
+    ('conn = "Server=a;Pwd=aB3dE5fG7hJ9;Db=x"', ["aB3dE5fG7hJ9"]),
+    ("don't key: it's fine", []),
+]
+
+
+def test_syntax_of_sources_and_settings():
+    for text, want in CASES:
+        assert literals(text) == want, text
+
+
+def test_programs_against_a_slow_reading():
+    """Random straight-line programs: the reference runs them statement by statement and keeps whole lists of parts."""
+    rng = random.Random(9)
+    for _ in range(300):
+        lines, env, want, made = [], {}, set(), 0
+        for _ in range(rng.randrange(1, 12)):
+            name = rng.choice(["A", "B", "cfg.C", "dev_auth_key", "my_credential"])
+            terms, parts = [], []
+            for _ in range(rng.randrange(1, 4)):
+                known = [n for n in env if n != "dev_auth_key"]
+                if known and rng.random() < 0.4:
+                    n = rng.choice(known)
+                    terms.append(n)
+                    parts += env[n]
+                else:
+                    made += 1
+                    literal = f"aZ{made}q" + "".join(rng.choices("bcdXYZ345", k=9))
+                    quote = rng.choice("\"'")
+                    terms.append(quote + literal + quote)
+                    parts.append(literal)
+            lines.append(f"{name}{rng.choice([' = ', '=', ' := '])}{rng.choice([' + ', '+', ' +  ']).join(terms)}{rng.choice(['', ' # note', ';'])}")
+            env[name] = parts
+            if name in ("dev_auth_key", "my_credential"):
+                want |= set(parts)
+        text = "\n".join(lines)
+        assert set(literals(text)) == want, text
+
+
+def test_long_rows_of_syntax_are_read_once():
+    made = ["<a key='b' " * 60_000, "<a " + "key='b' " * 60_000, "string " * 100_000 + "= 1", "{" * 100_000 + "a:1," * 50_000]
+    made += ["K=K+K\n" * 1_000 + "auth_key=K", 'K="a"\n' + 'K+="aB3"\n' * 30_000 + "auth_key=K", "a_key=b_key\n" * 50_000, "='''" * 60_000]
+    made += ['\\"' * 150_000, "a: |\n  b\n" * 30_000, "-" * 200_000 + "a:b", "".join(f"k{i}_key = k{i + 1}_key\n" for i in range(30_000))]
+    made += ["=(" * 100_000, "a='x' 'y'" * 40_000, "a: 'x: \"y: " * 30_000]
+    for text in made:
+        began = time.process_time()
+        literals(text)
+        assert time.process_time() - began < 5, text[:20]
+
+
 def test_long_rows_are_read_once():
     for text in ("=" * 300_000, "a=" * 150_000, 'a="' * 100_000, "a='x" * 80_000, " :" * 150_000, "a" * 300_000 + ":", ("a" + " " * 50 + ":\n") * 6_000, '"a":' * 80_000, "pwd='" + "".join(map(chr, range(0x4E00, 0x9E00))) * 10 + "'"):
         began = time.process_time()
