@@ -122,7 +122,8 @@ def stacked_p(spark, d):
     return _p(A.stacked_p(knn(embeddings(spark, d), K), A.multiscale_perplexities(100)), "perplexity", "i", "j")
 
 
-@query("student_q", f"{_W}, {QQ} SELECT qq.i, qq.j, round(q * 1000, 6) AS q1000 FROM qq JOIN rk ON rk.i = qq.i AND rk.j = qq.j WHERE rh <= 7")
+#: the ranked pairs are read once; no second join of all pairs
+@query("student_q", f"{_W}, qk AS MATERIALIZED (SELECT i, j, rh, 1 / (1 + dl * dl) AS w FROM rk), t AS (SELECT sum(w) AS s FROM qk) SELECT i, j, round(w / s * 1000, 6) AS q1000 FROM qk CROSS JOIN t WHERE rh <= 7")
 def student_q(spark, d):
     from oosgauge.operators.knn import edges
 
