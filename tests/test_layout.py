@@ -116,7 +116,7 @@ def test_too_many_rows_raise(make, rng, monkeypatch):
 @pytest.mark.parametrize("name", ["ktsne", "dlmp-tsne", "dlmp-umap"])
 def test_methods_fit_alone(make, rng, name):
     x = blobs(rng, 30)
-    kw = {"ktsne": {"perplexity": 8}, "dlmp-tsne": {"perplexity": 8, "epochs": 100}, "dlmp-umap": {"epochs": 100}}[name]
+    kw = {"ktsne": {"perplexity": 8, "steps": 300}, "dlmp-tsne": {"perplexity": 8, "steps": 300, "epochs": 40}, "dlmp-umap": {"steps": 100, "epochs": 40}}[name]
     m = R.get(name, **kw).fit(make(x))
     assert apart(np.array([r.proj for r in m.transform().orderBy("id").collect()]), 30) > 0.95
     assert m.transform_oos(make(x[:9] + 0.01, first=1000)).count() == 9
