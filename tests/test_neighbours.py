@@ -127,3 +127,35 @@ def test_kernel_rows_sum_to_one(make, rng):
     pairs = df.selectExpr("id as i").crossJoin(df.selectExpr("id as j"))
     k = P.gaussian_kernel_rows(pairs, df, 0.8).groupBy("i").sum("k").collect()
     assert all(r[1] == pytest.approx(1.0) for r in k)
+
+
+def test_strips_bound_the_cells_of_a_kernel():
+    import pyarrow as pa
+
+    from oosgauge.operators import blocks as B
+
+    left, right = {"id": np.arange(103)}, {"id": np.arange(B.TILE_CELLS // 10)}
+    strips = []
+    got = pa.concat_tables(B.tiled(left, right, lambda t: strips.append(len(t["id"])) or pa.table(t)))
+    assert max(strips) == 10 and got.column("id").to_pylist() == list(range(103))
+
+
+def test_distances_for_sums_agree_with_direct_ones(rng):
+    from oosgauge.operators import blocks as B
+
+    x = rng.normal(size=(200, 30)) + 1e4
+    y = np.concatenate([x[:20], x[20:40] + 1e-7, rng.normal(size=(300, 30)) + 1e4])
+    direct = np.sqrt(((x[:, None] - y[None]) ** 2).sum(axis=2))
+    assert (B.pair_distance(x, y) == direct).all() and (B.pair_distance(x[:, :3], y[:, :3]) == dist(x[:, :3], y[:, :3])).all()
+    assert np.allclose(B.close_distance(x, y), direct, rtol=1e-9, atol=0) and (B.close_distance(x, y)[np.arange(20), np.arange(20)] == 0).all()
+
+
+def test_search_leaves_the_cells_where_they_prune_nothing(spark, make, rng):
+    from oosgauge.operators.blocks import shape_of
+    from oosgauge.operators.cells import pruned_knn
+
+    x = rng.normal(size=(150, 20))
+    base = make(x).selectExpr("id", "features as v")
+    assert pruned_knn(base, base, 4, True, shape_of(base, "v"), cell_rows=15, most=100) is None
+    want = order(dist(x))
+    assert {i: list(w[:4]) for i, w in enumerate(want)} == lists(knn(make(x), 4, prune_from=1))
