@@ -92,3 +92,59 @@ def test_repeated_rows_and_null_ids(spark):
 
 def test_empty_table(spark):
     assert jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_links_of_a_block_join_what_all_pairs_join():
+    import numpy as np
+
+    from oosgauge.llm.ngram_join import ORDER_BITS, Settings, links_between
+
+    rng, s = np.random.default_rng(5), Settings()
+    for trial in range(60):
+        m = int(rng.integers(2, 40))
+        texts = [rng.choice(2**62, int(rng.integers(4, 30)), replace=False) for _ in range(4)]
+        sets, seen = [], set()
+        while len(sets) < m:
+            t = texts[rng.integers(4)].copy()
+            t[rng.integers(0, len(t), rng.integers(0, 6))] = rng.integers(0, 50)
+            x = np.unique(t[: len(t) - rng.integers(0, 3)]).astype(np.uint64)
+            if x.tobytes() not in seen:
+                seen.add(x.tobytes())
+                sets.append(x)
+        labels = [int(x) for x in rng.integers(0, m, m)] if trial % 2 else list(range(m))
+        probe = [bool(x) for x in rng.random(m) < 0.4] if trial % 3 else [True] * m
+        order = rng.integers(0, 9, 1 << ORDER_BITS)
+
+        def parts(links, by_label):
+            top = list(range(m))
+            find = lambda i: i if top[i] == i else find(top[i])
+            for a, b in [*links, *((i, labels.index(x)) for i, x in enumerate(labels) if by_label)]:
+                top[find(a)] = find(b)
+            return [min(j for j in range(m) if find(j) == find(i)) for i in range(m)]
+
+        alike = {(i, j) for i in range(m) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))}
+        got = list(links_between(list(range(m)), sets, labels, probe, order, s))
+        assert all((max(g), min(g)) in alike for g in got)
+        must = parts([p for p in alike if probe[p[0]] or probe[p[1]]], True)
+        may = parts(alike, True)
+        joined = parts(got, True)
+        assert all(joined[i] == joined[x] for i, x in enumerate(must)) and all(may[i] == may[x] for i, x in enumerate(joined))
+
+
+def test_a_large_group_of_unlike_sets_is_settled_in_time():
+    import time
+
+    import numpy as np
+
+    from oosgauge.llm.ngram_join import ORDER_BITS, Settings, links_between
+
+    rng = np.random.default_rng(6)
+    base = rng.choice(2**62, 60, replace=False).astype(np.uint64)
+    sets = []
+    for i in range(2500):  # half of a common passage each: no two are similar enough
+        x = base.copy()
+        x[rng.choice(60, 25, replace=False)] = rng.choice(2**62, 25).astype(np.uint64)
+        sets.append(np.unique(x))
+    began = time.process_time()
+    got = list(links_between(list(range(2500)), sets, list(range(2500)), [True] * 2500, np.zeros(1 << ORDER_BITS, np.int64), Settings()))
+    assert not got and time.process_time() - began < 20
