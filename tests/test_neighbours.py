@@ -159,3 +159,26 @@ def test_search_leaves_the_cells_where_they_prune_nothing(spark, make, rng):
     assert pruned_knn(base, base, 4, True, shape_of(base, "v"), cell_rows=15, most=100) is None
     want = order(dist(x))
     assert {i: list(w[:4]) for i, w in enumerate(want)} == lists(knn(make(x), 4, prune_from=1))
+
+
+@pytest.mark.parametrize("most_links", [0, 1 << 20])
+def test_path_rows_from_entries(spark, most_links, monkeypatch):
+    """Final rows only, from entries at given distances, by vectors and by tables; no path is infinite."""
+    monkeypatch.setattr(G.B, "TILE_CELLS", 64)  # many spans of links
+    links = [(0, 10, 1.5), (10, 20, 1.0), (20, 0, 4.0), (30, 40, 1.0), (40, 30, 0.5)]
+    graph = spark.createDataFrame(links, "src bigint, dst bigint, w double")
+    starts = [(i, i, 0.0) for i in (0, 10, 20, 30, 40)] + [(7, 0, 2.0), (7, 20, 0.25), (7, 20, 9.0)]
+    nodes = np.array([0, 10, 20, 30, 40])
+    rows = G.geodesic_rows(graph, spark.createDataFrame(starts, "id bigint, node bigint, dist double"), nodes, most_links).collect()
+    inf = np.inf
+    assert {r["id"]: np.frombuffer(r["d"]).tolist() for r in rows} == {
+        0: [0, 1.5, 2.5, inf, inf], 10: [1.5, 0, 1, inf, inf], 20: [2.5, 1, 0, inf, inf],
+        30: [inf, inf, inf, 0, 0.5], 40: [inf, inf, inf, 0.5, 0], 7: [2.0, 1.25, 0.25, inf, inf],
+    }
+
+
+def test_kernel_width_takes_the_largest_of_every_block(make, rng):
+    x = rng.normal(size=(60, 9))
+    x[5] = x[6] * 30  # the largest distances all lie in one row
+    largest = np.sort(dist(x)[np.triu_indices(60, 1)])[::-1][:5]
+    assert np.isclose(P.kernel_width(make(x)), np.median(np.repeat(largest, 2)) / np.sqrt(-2 * np.log(0.6)), rtol=1e-9)
