@@ -182,3 +182,18 @@ def test_kernel_width_takes_the_largest_of_every_block(make, rng):
     x[5] = x[6] * 30  # the largest distances all lie in one row
     largest = np.sort(dist(x)[np.triu_indices(60, 1)])[::-1][:5]
     assert np.isclose(P.kernel_width(make(x)), np.median(np.repeat(largest, 2)) / np.sqrt(-2 * np.log(0.6)), rtol=1e-9)
+
+
+def test_ranks_among_copies_settle_ties_in_parts():
+    import tracemalloc
+
+    from oosgauge.operators.knn import closer_counts
+
+    ids, x = np.arange(500), np.ones((500, 64))
+    tracemalloc.start()
+    got = closer_counts(ids, x, ids, x, np.full((500, 1), 250), np.zeros((500, 1)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # all 250,000 distances tie: rows before the target by id, the row itself left out
+    np.testing.assert_array_equal(got[:, 0], 250 - (ids < 250))
+    assert peak < 200e6
