@@ -197,3 +197,18 @@ def test_ranks_among_copies_settle_ties_in_parts():
     # all 250,000 distances tie: rows before the target by id, the row itself left out
     np.testing.assert_array_equal(got[:, 0], 250 - (ids < 250))
     assert peak < 200e6
+
+
+def test_double_centring_gives_the_whole_matrix(spark, make, rng, monkeypatch):
+    from oosgauge.catalog import neighbours as C
+
+    x = rng.normal(size=(40, 3))
+    x[5] = x[6]
+    df = make(x)
+    monkeypatch.setattr(C, "embeddings", lambda *_: df)
+    monkeypatch.setattr(P.B, "CELL_BLOCK_ROWS", 16)  # blocks meet in both directions
+    d2 = dist(x) ** 2
+    want = -0.5 * (d2 - d2.mean(axis=0)[None, :] - d2.mean(axis=1)[:, None] + d2.mean())
+    got = {(r["i"], r["j"]): r["b"] for r in C.double_centre(spark, "").collect()}
+    assert len(got) == 1600  # 7 partners a row before
+    assert all(b == pytest.approx(want[i, j], abs=2e-6) for (i, j), b in got.items())
