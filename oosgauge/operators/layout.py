@@ -9,7 +9,6 @@ that the layout does not depend on how many tasks there are.
 
 from __future__ import annotations
 
-import base64
 import itertools
 import math
 from collections.abc import Callable
@@ -21,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oosgauge.operators.training import spread
+from oosgauge.operators.training import Exchange, meeting_place, spread
 from oosgauge.session import ship, stable
 
 SPAN = 250
@@ -191,17 +190,14 @@ def _lists(m: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * 2), pa.array(m.ravel()))
 
 
-def _span(move, first: int, last: int):
+def _span(move, first: int, last: int, folder: str | None):
     def run(batches):
         from pyspark import BarrierTaskContext
 
-        task = BarrierTaskContext.get()
-        alone = len(task.getTaskInfos()) == 1
+        exchange = Exchange(BarrierTaskContext.get(), folder)
 
         def together(own: np.ndarray) -> list[np.ndarray]:
-            if alone:
-                return [own]
-            return [np.frombuffer(base64.b64decode(x), dtype=own.dtype) for x in task.allGather(base64.b64encode(own.tobytes()).decode())]
+            return [np.frombuffer(x, dtype=own.dtype) for x in exchange(own.tobytes())]
 
         tables = [b for b in batches if b.num_rows]
         table = pa.Table.from_batches(tables) if tables else None
@@ -254,9 +250,9 @@ def lay_out(start: DataFrame, edges: DataFrame, steps: int, move: Callable) -> t
         raise ValueError(f"{rows} rows: every task would hold the places of more than {MOST_ROWS}")
     tasks = max(1, min(sc.defaultParallelism, -(-max(count, rows) // TASK_EDGES)))
     losses: list[float] = []
-    span = SPAN * move.rounds
+    span, folder = SPAN * move.rounds, meeting_place(start.sparkSession)
     for first in range(0, steps if rows else 0, span):
-        run = _span(move, first, min(steps, first + span))
+        run = _span(move, first, min(steps, first + span), folder)
         nodes = stable(nodes.unionByName(links).repartition(tasks, "id").mapInArrow(run, STATE, barrier=True))
         losses.append(float(nodes.agg(F.max("loss")).first()[0]))
     return nodes.select("id", F.col("y").alias("proj")), losses
