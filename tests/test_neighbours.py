@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from reference import dist, order
+from reference import dist, order, shortest
 
 from oosgauge.operators import graph as G
 from oosgauge.operators import pairwise as P
@@ -212,3 +212,34 @@ def test_double_centring_gives_the_whole_matrix(spark, make, rng, monkeypatch):
     got = {(r["i"], r["j"]): r["b"] for r in C.double_centre(spark, "").collect()}
     assert len(got) == 1600  # 7 partners a row before
     assert all(b == pytest.approx(want[i, j], abs=2e-6) for (i, j), b in got.items())
+
+
+def test_hops_are_counted_in_bits(spark, rng):
+    n = 90
+    links = [(i, i + 1) for i in range(n - 1)] + [tuple(int(v) for v in rng.integers(0, n, 2)) for _ in range(8)]
+    want = shortest(n, [(i, j, 1.0) for i, j in links if i != j])
+    graph = spark.createDataFrame([(i, j, 1.0) for i, j in links], "src bigint, dst bigint, w double")
+    starts = spark.range(n).selectExpr("id", "id as node", "0.0D as dist")
+    rows = G.geodesic_rows(graph, starts, np.arange(n), counts=True).collect()
+    assert len(rows) == n and all(len(r["d"]) < 8 * n // 4 for r in rows)  # a number was 8 bytes
+    assert all((G.B.unpacked(r["d"]) == want[r["id"]]).all() for r in rows)
+    cut = graph.filter("src <> 40 and dst <> 40")
+    assert all(r["d"] is None for r in G.geodesic_rows(cut, starts, np.arange(n), counts=True).collect())
+
+
+@pytest.mark.parametrize("apart", [False, True])
+@pytest.mark.parametrize("weighted", [False, True])
+def test_isomap_places_new_rows_as_their_own_paths_do(make, rng, monkeypatch, apart, weighted):
+    from oosgauge.operators import landmarks as L
+
+    x = rng.normal(size=(70, 3))
+    if apart:  # two components, joined by a bridge of another length
+        x[:30] += 40.0
+    e, o = make(x), make(rng.normal(size=(9, 3)), first=500)
+    place = lambda df: np.array([r["proj"] for r in df.orderBy("id").collect()])
+    m = L.OosIsomap(n_neighbors=5, weighted=weighted).fit(e)
+    new, old = place(m.transform_oos(o)), place(m.transform())
+    monkeypatch.setattr(L, "MOST_ENTRIES", 0)
+    assert np.allclose(place(m.transform_oos(o)), new, atol=1e-9)
+    monkeypatch.setattr(G, "MOST_HOPS", 0)  # paths as doubles
+    assert np.allclose(place(L.OosIsomap(n_neighbors=5, weighted=weighted).fit(e).transform()), old, atol=1e-9)
