@@ -212,6 +212,10 @@ def test_double_centring_gives_the_whole_matrix(spark, make, rng, monkeypatch):
     got = {(r["i"], r["j"]): r["b"] for r in C.double_centre(spark, "").collect()}
     assert len(got) == 1600  # 7 partners a row before
     assert all(b == pytest.approx(want[i, j], abs=2e-6) for (i, j), b in got.items())
+    again = df.unionByName(df.limit(1)).unionByName(spark.createDataFrame([(99, None, None, None)], df.schema))
+    rows = C.P.double_centred(again).collect()
+    assert len(rows) == 42 * 42
+    assert all((r["b"] is None) == (99 in (r["i"], r["j"])) for r in rows)
 
 
 def test_hops_are_counted_in_bits(spark, rng):
