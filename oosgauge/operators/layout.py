@@ -129,6 +129,8 @@ class StudentStep:
         raised = self.factor if step < self.early else 1.0
         g = 4.0 * (raised * near - push[own] / total)
         v, gain = state["v"], state["gain"]
+        if step == self.early:  # the second phase starts at rest: the first one's gains and momentum throw the groups apart
+            v, gain = np.zeros_like(v), np.ones_like(gain)
         gain = np.maximum(np.where(v * g < 0, gain + 0.2, gain * 0.8), 0.01)
         v = (0.5 if step < self.early else 0.8) * v - self.lr * gain * g
         state["v"], state["gain"] = v, gain
